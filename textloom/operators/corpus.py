@@ -44,18 +44,22 @@ def similarity_edges(sents: DataFrame, threshold: float) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """``doc_id, node, rank`` after a fixed number of rounds; mass of nodes without edges is spread evenly."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    steps = edges.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("doc_id", "a"))).select("doc_id", F.col("a").alias("node"), "b", "p")
-    out = steps.select("doc_id", "node").distinct().withColumn("linked", F.lit(1))
-    base = nodes.withColumn("n", size).join(out, ["doc_id", "node"], "left").select("doc_id", "node", "n", F.col("linked").isNull().alias("dangling"))
-    ranks = base.withColumn("rank", 1.0 / F.col("n"))
+    by_doc = Window.partitionBy("doc_id")
+    steps = edges.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("doc_id", "a")))
+    # A node's own document bounds its neighbours.
+    out = steps.groupBy("doc_id", F.col("a").alias("node")).agg(F.collect_list(F.struct("b", "p")).alias("out"))
+    none = F.array().cast("array<struct<b:int,p:double>>")
+    ranks = nodes.select("doc_id", F.col("node").cast("int").alias("node")).withColumn("n", F.count(F.lit(1)).over(by_doc))
+    ranks = ranks.join(out, ["doc_id", "node"], "left").withColumn("out", F.coalesce("out", none)).withColumn("rank", 1.0 / F.col("n"))
     for _ in range(rounds):
-        lost = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).over(Window.partitionBy("doc_id"))
-        flow = ranks.join(steps, ["doc_id", "node"]).groupBy("doc_id", F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        ranks = ranks.withColumn("lost", lost).join(flow, ["doc_id", "node"], "left").select(
-            "doc_id", "node", "n", "dangling",
-            ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("rank"),
-        )
+        # Each round reads the one before once: a node sends itself what it knows, and its neighbours their shares.
+        lost = F.sum(F.when(F.size("out") == 0, F.col("rank")).otherwise(0.0)).over(by_doc)
+        own = F.array(F.struct(F.col("node").alias("to"), F.lit(0.0).alias("got"), F.struct("n", "lost", "out").alias("known")))
+        sent = F.transform("out", lambda e: F.struct(e["b"].cast("int").alias("to"), (F.col("rank") * e["p"]).alias("got"), F.lit(None).cast("struct<n:bigint,lost:double,out:array<struct<b:int,p:double>>>").alias("known")))
+        moved = ranks.withColumn("lost", lost).select("doc_id", F.explode(F.concat(own, sent)).alias("m"))
+        met = moved.groupBy("doc_id", F.col("m.to").alias("node")).agg(F.sum("m.got").alias("got"), F.first("m.known", ignorenulls=True).alias("k"))
+        rank = (1 - damping) / F.col("k.n") + damping * (F.col("got") + F.col("k.lost") / F.col("k.n"))
+        ranks = met.select("doc_id", "node", F.col("k.n").alias("n"), F.col("k.out").alias("out"), rank.alias("rank"))
     return ranks.select("doc_id", "node", "rank")
 
 

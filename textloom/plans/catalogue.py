@@ -116,8 +116,8 @@ def strip_quotes(t):
 
 
 @query("""with l as (select doc_id, string_split(trim(text || chr(10) || '--' || chr(10) || 'sig', ' '), chr(10)) as p, trim(text || chr(10) || '--' || chr(10) || 'sig', ' ') as whole from documents),
-m as (select *, list_max(list_transform(range(0, len(p)), lambda i: case when trim(replace(p[i + 1], '-', ''), ' ') = '' then i else 0 end)) as at from l)
-select doc_id, case when at > 0 then array_to_string(p[1:at], chr(10)) else whole end as body from m""")
+m as (select *, list_max(list_transform(range(0, len(p)), lambda i: case when trim(replace(p[i + 1], '-', ''), ' ') = '' then i else 0 end)) as cut from l)
+select doc_id, case when cut > 0 then array_to_string(p[1:cut], chr(10)) else whole end as body from m""")
 def strip_footer(t):
     return t("documents").select("doc_id", tx.without_footer(F.concat("text", F.lit("\n--\nsig"))).alias("body"))
 
@@ -319,14 +319,14 @@ def tfidf_edges(t):
 
 def _pagerank_sql(rounds: int) -> str:
     steps = "\n".join(
-        f"r{k} as (select n.doc_id, n.node, n.n, n.dangling, 0.15 / n.n + 0.85 * (coalesce(f.got, 0) + n.lost / n.n) as rank from "
+        f"r{k} as materialized (select n.doc_id, n.node, n.n, n.dangling, 0.15 / n.n + 0.85 * (coalesce(f.got, 0) + n.lost / n.n) as rank from "
         f"(select *, sum(case when dangling then rank else 0 end) over (partition by doc_id) as lost from r{k - 1}) n left join "
         f"(select r.doc_id, s.b as node, sum(r.rank * s.p) as got from r{k - 1} r join steps s on s.doc_id = r.doc_id and s.a = r.node group by all) f on f.doc_id = n.doc_id and f.node = n.node),"
         for k in range(1, rounds + 1)
     )
     return "with " + TURNS + (
-        "steps as (select doc_id, a, b, weight / sum(weight) over (partition by doc_id, a) as p from edges),"
-        "r0 as (select doc_id, pos as node, count(*) over (partition by doc_id) as n, not exists (select 1 from steps s where s.doc_id = t.doc_id and s.a = t.pos) as dangling, "
+        "steps as materialized (select doc_id, a, b, weight / sum(weight) over (partition by doc_id, a) as p from edges),"
+        "r0 as materialized (select doc_id, pos as node, count(*) over (partition by doc_id) as n, not exists (select 1 from steps s where s.doc_id = t.doc_id and s.a = t.pos) as dangling, "
         "1.0 / count(*) over (partition by doc_id) as rank from turns t)," + steps
     )
 
