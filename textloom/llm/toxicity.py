@@ -33,7 +33,7 @@ class Settings:
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.1
-    epochs: int = 2
+    epochs: int = 4
     sample_rows: int = 8_000
     threshold: float = 0.3
     seed: int = 11
