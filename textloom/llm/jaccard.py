@@ -85,8 +85,8 @@ def digest(values: np.ndarray) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of a bitmap: a power of two near the set's size."""
-    return 1 << max(6, min(13, int(n).bit_length()))
+    """Bits of a bitmap: a power of two, two to four times the set's size, so the bound stays close."""
+    return 1 << max(6, min(15, int(n).bit_length() + 1))
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -379,7 +379,10 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
 
     placed = tiled.select("tile", "n", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     placed = placed.withColumn("root", F.coalesce("root", "digest"))
-    split = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tile")
+    # Near-copies share many tiles with the same members; one of those tiles is enough.
+    members = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("digest").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "digest")))
+    split = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), members.alias("members")).filter("lo <> hi")
+    split = split.groupBy("members").agg(F.min("tile").alias("tile")).select("tile")
     open_rows = scratch.put(placed.join(split, "tile", "left_semi").join(bitmaps, "digest"), "open")
     pairs = scratch.put(meeting_pairs(open_rows, threshold), "pairs")
     second = verified(pairs, owners, own, width, threshold)
