@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["at", "w"])
 
-    found = sample.select("o", "y", "text").mapInArrow(hashed, "o long, y int, f binary").coalesce(1).mapInArrow(fit, "at long, w double").collect()
+    found = sample.select("o", "y", "text").mapInArrow(hashed, "o long, y int, f binary").repartition(1).mapInArrow(fit, "at long, w double").collect()
     at, w = np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found])
     end = 1 << settings.bits
     return at[at < end], w[at < end], float(w[at == end].sum())
