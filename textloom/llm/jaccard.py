@@ -5,13 +5,14 @@
 2. Shingles have a global order: rarer first by a frequency sketch of the whole
    corpus, then by hash.  Sets that are similar enough share a shingle among the
    first ``n - ceil(t*n) + 1``; those are the tiles a set belongs to.
-3. Within a tile, sets are banded by size: only sizes within the threshold's ratio
-   meet.  A parity bitmap of each set bounds the overlap from above, since every
-   bit in which two bitmaps differ costs at least one shingle that is not shared.
+3. Tiles are banded by size, one band a doubling; a set whose size could still match
+   one of the band below is a guest there.  A parity bitmap of each set bounds the
+   overlap from above, since every bit in which two bitmaps differ costs at least
+   one shingle that is not shared; within a band bitmaps are alike in width.
 4. Pairs that the bound lets through are verified on the sorted arrays.
 
 To avoid all pairs of a group of near-copies, each set is first verified against
-the representative it shares most tiles with.  Only sets of one tile that are
+the representative it shares most tiles with, if the bitmaps allow.  Only sets of one tile that are
 then still in different components meet in blocks, so every link between components is found.
 """
 
@@ -85,8 +86,8 @@ def digest(values: np.ndarray) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of a bitmap: a power of two, two to four times the set's size, so the bound stays close."""
-    return 1 << max(6, min(15, int(n).bit_length() + 1))
+    """Bits of a bitmap: a power of two, one to two times the set's size, so the bound stays close."""
+    return 1 << max(6, min(15, int(n).bit_length()))
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -105,6 +106,17 @@ def folded(packed: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flags, axis=1).view(np.uint64)
 
 
+def bands(n: int, t: float) -> list[int]:
+    """The doubling that a size falls in, and those below with a size that can match it."""
+    least = max(1, int(np.ceil(t * n - 1e-9)))
+    return list(range(least.bit_length() - 1, n.bit_length()))
+
+
+def most_shared(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """How many shingles sets of n and m can share at most if so many bits of their bitmaps differ."""
+    return np.minimum((n + m - differ) // 2, np.minimum(n, m))
+
+
 def prefix_length(n: int, t: float) -> int:
     return n - int(np.ceil(t * n - 1e-9)) + 1 if n else 0
 
@@ -165,7 +177,7 @@ def frequency_levels(pieces: DataFrame) -> np.ndarray:
 
 
 def tiles(docs: DataFrame, width: int, t: float, levels) -> DataFrame:
-    """``tile, n, digest``: the tiles of each set, once per set and task."""
+    """``tile, n, digest``: the banded tiles of each set, once per set and task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +193,11 @@ def tiles(docs: DataFrame, width: int, t: float, levels) -> DataFrame:
                 p = prefix_length(len(values), t)
                 level = rank[(values % np.uint64(SKETCH)).astype(np.int64)]
                 # Values are sorted by hash, so a stable sort by level gives the global order.
-                keys.append(values[level == 0][:p] if (level == 0).sum() >= p else values[np.argsort(level, kind="stable")[:p]])
-                sizes.append(len(values))
-                names.append(name)
+                chosen = values[level == 0][:p] if (level == 0).sum() >= p else values[np.argsort(level, kind="stable")[:p]]
+                for band in bands(len(values), t):
+                    keys.append(mix64(chosen + np.uint64(band)))
+                    sizes.append(len(values))
+                    names.append(name)
             if len(seen) > 1 << 20:
                 seen.clear()
             if keys:
@@ -290,6 +304,24 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, width: int, t
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
+    """Those pairs (a, b) of digests that sizes and bitmaps allow; ``signatures``: digest, n, bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                low = 8 * min(len(x), len(y))
+                x, y = (folded(np.frombuffer(z, np.uint8)[None], low) for z in (x, y))
+                most = int(most_shared(n, m, int(np.bitwise_count(x ^ y).sum())))
+                keep.append(most >= t * (n + m - most) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(signatures.select(F.col("digest").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def meeting_pairs(rows: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) of one tile, in different components, that size and bitmaps allow.
 
@@ -317,7 +349,7 @@ def meeting_pairs(rows: DataFrame, t: float) -> DataFrame:
             at = np.flatnonzero(lengths == size)
             words[at] = folded(np.frombuffer(b"".join(rows["bits"].iloc[at]), np.uint8).reshape(len(at), -1), low)
         differ = np.bitwise_count(words[i] ^ words[j]).sum(axis=1).astype(np.int64)
-        most = (n[i] + n[j] - differ) // 2  # of shared shingles
+        most = most_shared(n[i], n[j], differ)
         ok = most >= t * (n[i] + n[j] - most) - 1e-9
         return [np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]])]
 
@@ -366,7 +398,7 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     described = scratch.put(describe_sets(own, width), "sets")
     sets = described.filter(F.col("digest").isNotNull()).select("doc_id", "h", "n", "digest")
     levels = frequency_levels(described.filter(F.col("digest").isNull()).select("doc_id", "bits"))
-    bitmaps = described.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("bits").alias("bits"))
+    signatures = described.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     owners = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("o"))
     owners = scratch.put(owners.select("digest", "o.doc_id", "o.h"), "owners")
 
@@ -374,7 +406,8 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     # Each set first meets the representative with which it shares most tiles.
     votes = tiled.filter("rep <> digest").groupBy("digest", "rep").agg(F.count(F.lit(1)).alias("c"))
     best = votes.groupBy("digest").agg(F.max(F.struct("c", "rep")).alias("m")).select(F.col("m.rep").alias("a"), F.col("digest").alias("b"))
-    first = scratch.put(verified(scratch.put(best, "best"), owners, own, width, threshold), "first")
+    best = scratch.put(plausible(best, signatures, threshold), "best")
+    first = scratch.put(verified(best, owners, own, width, threshold), "first")
     roots = connected_components(first, scratch, "cc1")
 
     placed = tiled.select("tile", "n", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
@@ -383,7 +416,7 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     members = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("digest").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "digest")))
     split = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), members.alias("members")).filter("lo <> hi")
     split = split.groupBy("members").agg(F.min("tile").alias("tile")).select("tile")
-    open_rows = scratch.put(placed.join(split, "tile", "left_semi").join(bitmaps, "digest"), "open")
+    open_rows = scratch.put(placed.join(split, "tile", "left_semi").join(signatures.select("digest", "bits"), "digest"), "open")
     pairs = scratch.put(meeting_pairs(open_rows, threshold), "pairs")
     second = verified(pairs, owners, own, width, threshold)
     roots = connected_components(scratch.put(first.unionByName(second), "links"), scratch, "cc2").withColumnRenamed("node", "digest")
