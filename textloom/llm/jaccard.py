@@ -12,8 +12,9 @@
 4. Pairs that the bound lets through are verified on the sorted arrays.
 
 To avoid all pairs of a group of near-copies, each set is first verified against
-the representative it shares most tiles with, if the bitmaps allow.  Only sets of one tile that are
-then still in different components meet in blocks, so every link between components is found.
+the representative it shares most tiles with, if the bitmaps allow.  Sets of one tile that are
+then still in different components meet in blocks: in two rounds each picks the partners most
+like it, and a last one verifies all pairs left between components, so none is lost.
 """
 
 from __future__ import annotations
@@ -33,9 +34,15 @@ from textloom.llm.components import connected_components
 
 MEMO_WORDS = 1 << 19
 #: Counters of the frequency sketch; its size does not depend on the corpus.
-SKETCH = 1 << 20
+SKETCH = 1 << 21
 #: Members of a tile that meet in one task.
 BLOCK = 512
+#: Partners a set picks in the rounds before the last, which takes all pairs left.
+PICKS = (1, 4)
+#: Bitmap words compared at once.
+COMPARE = 1 << 21
+#: Shingles gathered before they are added to the sketch.
+GATHER = 1 << 20
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -85,14 +92,14 @@ def digest(values: np.ndarray) -> int:
         return int(mix64(np.array([total]))[0].astype(np.int64)) or 1
 
 
-def bitmap_bits(n: int) -> int:
-    """Bits of a bitmap: a power of two, one to two times the set's size, so the bound stays close."""
-    return 1 << max(6, min(15, int(n).bit_length()))
+def bitmap_bits(n: int, t: float) -> int:
+    """Bits of a bitmap: a power of two in proportion to the shingles that linked sets may differ in."""
+    return 1 << max(6, min(15, int(np.ceil(5 * (1 - t) * n)).bit_length()))
 
 
-def bitmap(values: np.ndarray) -> bytes:
+def bitmap(values: np.ndarray, t: float) -> bytes:
     """Parity of how many shingles fall on each bit."""
-    bits = bitmap_bits(len(values))
+    bits = bitmap_bits(len(values), t)
     odd = np.bincount((mix64(values) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -128,7 +135,7 @@ def _shingler(width: int) -> Shingler:
     return state[width]
 
 
-def describe_sets(docs: DataFrame, width: int) -> DataFrame:
+def describe_sets(docs: DataFrame, width: int, t: float) -> DataFrame:
     """Per row: ``doc_id, h, n, digest, bits``; and rows with a null digest that hold a piece of the frequency sketch.
 
     Each task adds its sketch at its end, as compressed counters.
@@ -138,21 +145,27 @@ def describe_sets(docs: DataFrame, width: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch = _shingler(width), np.zeros(SKETCH, np.uint32)
+        shingler, sketch, each, held = _shingler(width), np.zeros(SKETCH, np.uint32), [], 0
+
+        def add() -> None:
+            if each:
+                np.add(sketch, np.bincount((np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=sketch)
+                each.clear()
+
         for batch in batches:
-            n, digests, bits, each = [], [], [], []
+            n, digests, bits = [], [], []
             for text in batch.column(2).to_pylist():
                 values = shingler(text)
                 n.append(len(values))
                 digests.append(digest(values))
-                bits.append(bitmap(values))
+                bits.append(bitmap(values, t))
                 each.append(values)
-                if len(each) == 200:
-                    sketch += np.bincount((np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-                    each = []
-            if each:
-                sketch += np.bincount((np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                held += len(values)
+                if held > GATHER:
+                    add()
+                    held = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), pa.array(bits, pa.binary())], names=out.names)
+        add()
         if sketch.any():
             pieces = np.array_split(sketch, 32)
             yield pa.RecordBatch.from_arrays(
@@ -163,17 +176,20 @@ def describe_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def frequency_levels(pieces: DataFrame) -> np.ndarray:
-    """Per counter of the sketch, how frequent its shingles are, in steps of a doubling above four times the mean (8 bits)."""
+    """Per counter of the sketch, how frequent its shingles are (8 bits): 0 up to what chance
+    puts on a counter, then in steps of a doubling of the excess."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(b), np.uint32).astype(np.int64) for b in rows["bits"])
-        return pd.DataFrame({"piece": [key[0]], "total": [total.tobytes()]})
+        return pd.DataFrame({"piece": [key[0]], "total": [zlib.compress(total.tobytes(), 1)]})
 
     rows = pieces.groupBy("doc_id").applyInPandas(add, "piece long, total binary").collect()  # of fixed size
     if not rows:
         return np.zeros(SKETCH, np.uint8)
-    counts = np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(rows, key=lambda r: r["piece"])])
-    return np.floor(np.log2(np.maximum(counts / (4 * counts.mean() + 8), 1))).astype(np.uint8)
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["total"]), np.int64) for r in sorted(rows, key=lambda r: r["piece"])])
+    usual = float(np.median(counts))
+    excess = (counts - usual) / (6 * np.sqrt(usual) + 4)
+    return np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).astype(np.uint8)
 
 
 def tiles(docs: DataFrame, width: int, t: float, levels) -> DataFrame:
@@ -322,64 +338,104 @@ def plausible(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def meeting_pairs(rows: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of one tile, in different components, that size and bitmaps allow.
-
-    ``rows``: tile, n, digest, root, bits.  A tile's members are dealt to blocks
-    of bounded size by hash, and each task compares two blocks.
+def allowed(n: np.ndarray, root: np.ndarray, own: np.ndarray | None, bits: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs that sizes and bitmaps allow, of different roots (and blocks), and the bits they differ in."""
+    i, j = np.triu_indices(len(n), 1)
+    ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
+    if own is not None:
+        ok &= own[i] != own[j]
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return i, j, i
+    lengths = np.array([len(x) for x in bits])
+    low = int(lengths.min()) * 8
+    words = np.empty((len(n), low // 64), np.uint64)
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        words[at] = folded(np.frombuffer(b"".join(bits[k] for k in at), np.uint8).reshape(len(at), -1), low)
+    step = max(1, COMPARE // words.shape[1])
+    differ = np.concatenate([np.bitwise_count(words[i[k : k + step]] ^ words[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)])
+    most = most_shared(n[i], n[j], differ)
+    ok = most >= t * (n[i] + n[j] - most) - 1e-9
+    return i[ok], j[ok], differ[ok]
+
+
+def picked(i: np.ndarray, j: np.ndarray, differ: np.ndarray, picks: int) -> np.ndarray:
+    """Positions of the pairs that are among the ``picks`` most alike of one of their sets."""
+    who, what, cost = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(differ, 2)
+    order = np.lexsort((what, cost, who))
+    starts = np.concatenate([[True], who[order][1:] != who[order][:-1]])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    return np.unique(what[order[place < picks]])
+
+
+def meeting_pairs(rows: DataFrame, signatures: DataFrame, t: float, picks: int | None) -> DataFrame:
+    """``a, b, tile``: pairs of one tile, in different components, that sizes and bitmaps allow.
+
+    ``rows``: tile, m (its rows), n, digest, root; ``signatures``: digest, bits.  A
+    tile's members are dealt to blocks of bounded size by hash, and each task
+    compares two blocks.  With ``picks`` only so many partners of each set come,
+    those most like it; then a row with null a and b names a tile with pairs left.
     """
-    sizes = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("m"))
-    blocked = rows.join(sizes, "tile").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    blocked = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "digest", "root", "bits")
-
-    def compare(rows: pd.DataFrame) -> list[np.ndarray]:
-        n, name, root = rows["n"].to_numpy(), rows["digest"].to_numpy(), rows["root"].to_numpy()
-        i, j = np.triu_indices(len(rows), 1)
-        ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
-        if rows["x"].iat[0] != rows["y"].iat[0]:
-            ok &= rows["own"].to_numpy()[i] != rows["own"].to_numpy()[j]
-        i, j = i[ok], j[ok]
-        if not len(i):
-            return []
-        lengths = rows["bits"].str.len().to_numpy()
-        low = int(lengths.min()) * 8
-        words = np.empty((len(rows), low // 64), np.uint64)
-        for size in np.unique(lengths):
-            at = np.flatnonzero(lengths == size)
-            words[at] = folded(np.frombuffer(b"".join(rows["bits"].iloc[at]), np.uint8).reshape(len(at), -1), low)
-        differ = np.bitwise_count(words[i] ^ words[j]).sum(axis=1).astype(np.int64)
-        most = most_shared(n[i], n[j], differ)
-        ok = most >= t * (n[i] + n[j] - most) - 1e-9
-        return [np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]])]
+    dealt = dealt.select("tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "digest", "root")
+    dealt = dealt.join(signatures.select("digest", "bits"), "digest").select("tile", "x", "y", "own", "n", "digest", "root", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups arrive one after the other; each is bounded."""
-        rest: pd.DataFrame | None = None
-
-        def results(frame: pd.DataFrame):
-            a, b = [], []
-            for _, group in frame.groupby(["tile", "x", "y"], sort=False):
-                got = compare(group.reset_index(drop=True)) if len(group) > 1 else []
-                if got:
-                    a.append(got[0])
-                    b.append(got[1])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        rest: pa.Table | None = None
+
+        def results(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, own, n, name, root = (rows.column(k).to_numpy() for k in range(1, 7))
+            tile, bits = rows.column(0).to_numpy(), rows.column(7)
+            found, left = [], []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
+                    continue
+                names = name[lo:hi]
+                i, j, differ = allowed(n[lo:hi], root[lo:hi], own[lo:hi] if x[lo] != y[lo] else None, bits.slice(lo, hi - lo).to_pylist(), t)
+                if picks and len(i):
+                    keep = picked(i, j, differ, picks)
+                    if len(keep) < len(i):
+                        left.append(tile[lo])
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    found.append((np.minimum(names[i], names[j]), np.maximum(names[i], names[j])))
+            if found or left:
+                a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
+                none = pa.nulls(len(left), pa.int64())
+                columns = [(pa.array(a), none), (pa.array(b), none), (pa.nulls(len(a), pa.int64()), pa.array(left, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "tile"])
 
         for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if not len(frame):
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            if not rows.num_rows:
                 continue
-            tail = (frame[["tile", "x", "y"]] == frame[["tile", "x", "y"]].iloc[-1]).all(axis=1)
-            yield from results(frame[~tail])
-            rest = frame[tail].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield from results(rest)
+            key = np.stack([rows.column(k).to_numpy() for k in range(3)])
+            edges = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            yield from results(rows, edges)  # the last group may go on
+            rest = rows.slice(int(edges[-1]))
+        if rest is not None and rest.num_rows:
+            yield from results(rest, np.array([0, rest.num_rows]))
 
     ordered = dealt.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, tile long").distinct()
+
+
+def open_tiles(tiled: DataFrame, roots: DataFrame, distinct_members: bool) -> DataFrame:
+    """``tile, m, n, digest, root``: the tiles with sets of different components.
+
+    Near-copies share many tiles with the same members; with ``distinct_members`` one of those comes.
+    """
+    placed = tiled.select("tile", "n", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "digest"))
+    members = F.struct(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "digest")))
+    split = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), members.alias("members")).filter("lo <> hi")
+    if distinct_members:
+        split = split.groupBy("members").agg(F.min("tile").alias("tile"))
+    return placed.join(split.select("tile", F.col("members.m").alias("m")), "tile").select("tile", "m", "n", "digest", "root")
 
 
 def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,7 +451,7 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    described = scratch.put(describe_sets(own, width), "sets")
+    described = scratch.put(describe_sets(own, width, threshold), "sets")
     sets = described.filter(F.col("digest").isNotNull()).select("doc_id", "h", "n", "digest")
     levels = frequency_levels(described.filter(F.col("digest").isNull()).select("doc_id", "bits"))
     signatures = described.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
@@ -410,16 +466,18 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     first = scratch.put(verified(best, owners, own, width, threshold), "first")
     roots = connected_components(first, scratch, "cc1")
 
-    placed = tiled.select("tile", "n", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "digest"))
-    # Near-copies share many tiles with the same members; one of those tiles is enough.
-    members = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("digest").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "digest")))
-    split = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), members.alias("members")).filter("lo <> hi")
-    split = split.groupBy("members").agg(F.min("tile").alias("tile")).select("tile")
-    open_rows = scratch.put(placed.join(split, "tile", "left_semi").join(signatures.select("digest", "bits"), "digest"), "open")
-    pairs = scratch.put(meeting_pairs(open_rows, threshold), "pairs")
-    second = verified(pairs, owners, own, width, threshold)
-    roots = connected_components(scratch.put(first.unionByName(second), "links"), scratch, "cc2").withColumnRenamed("node", "digest")
+    links, tried, left = first, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tiled
+    for k, picks in enumerate((*PICKS, None)):
+        rows = scratch.put(open_tiles(left, roots, not k), f"open{k}")
+        if rows.isEmpty():
+            break
+        met = scratch.put(meeting_pairs(rows, signatures, threshold, picks), f"met{k}")
+        pairs = scratch.put(met.filter(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+        links = scratch.put(links.unionByName(verified(pairs, owners, own, width, threshold)), f"links{k}")
+        roots = connected_components(links, scratch, f"cc{k + 2}")
+        tried = tried.unionByName(pairs)
+        left = rows.join(met.filter(F.col("a").isNull()).select("tile").distinct(), "tile", "left_semi")
+    roots = roots.withColumnRenamed("node", "digest")
 
     classes = owners.select("digest", "doc_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component"))
