@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +73,28 @@ def _remove(fs: Any, path: Any) -> None:
 
 
 def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across tasks."""
+    """A dictionary that lives as long as the Python worker, across tasks, until another name is asked for.
+
+    Workers outlive a stage of a pipeline; what its operator kept is freed when the next one starts.
+    """
     holder = sys.modules.setdefault("_textloom_worker_state", types.ModuleType("_textloom_worker_state"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", name) != name:
+        holder.state.clear()
+        release_memory()
+        holder.state = {}
+    elif not hasattr(holder, "state"):
+        holder.state = {}
+    holder.name = name
+    return holder.state
+
+
+def release_memory() -> None:
+    """Hands freed memory back to the system, as far as its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

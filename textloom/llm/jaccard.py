@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from textloom.llm.common import Scratch, maybe_broadcast, text_or_empty, worker_state
 from textloom.llm.components import connected_components
 
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 #: Counters of the frequency sketch; its size does not depend on the corpus.
 SKETCH = 1 << 21
 #: Members of a tile that meet in one task.

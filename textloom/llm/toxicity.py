@@ -21,7 +21,7 @@ SEPARATORS = "\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANK = {ord(c): " " for c in SEPARATORS}
 
 #: Words whose hash a worker remembers.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
