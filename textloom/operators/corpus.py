@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
@@ -101,3 +101,65 @@ def rouge(peers: DataFrame, models: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.round("r", 5).alias("recall"), F.round("p", 5).alias("precision"), F.round(f1, 5).alias("f1"))
 
 
+
+
+def average_ranks(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """``column, rank_<column>``: the average rank of each distinct value; null values have none.
+
+    Values are counted first, then ranked within buckets between approximate quantiles;
+    the buckets' totals (``buckets`` rows) give the offsets, so no task sorts all values.
+    """
+    rows = rows.filter(F.col(column).isNotNull())
+    splits = rows.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
+    bucket = sum((F.when(F.col(column) >= x, 1).otherwise(0) for x in sorted(set(splits))), F.lit(0))
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("bucket").agg(F.sum("n").alias("total")).select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    placed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy(column))).join(F.broadcast(offsets), "bucket")
+    return placed.select(column, (F.col("offset") + F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"rank_{column}"))
+
+
+def v_measure(rows: DataFrame) -> DataFrame:
+    """Homogeneity, completeness and V-measure of classes ``y`` against clusters ``p``; rows with a null are left out."""
+    cells = rows.dropna(subset=["y", "p"]).groupBy("y", "p").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    whole = Window.partitionBy()  # over the contingency table, already aggregated
+    cells = cells.withColumn("total", F.sum("n").over(whole)).withColumn("ny", F.sum("n").over(Window.partitionBy("y"))).withColumn("np", F.sum("n").over(Window.partitionBy("p")))
+
+    def entropy(of: str, given: str) -> Column:
+        return -F.sum(F.col("n") / F.col("total") * F.log(F.col(of) / F.col(given)))
+
+    h = cells.agg(entropy("ny", "total").alias("hy"), entropy("np", "total").alias("hp"), entropy("n", "np").alias("hy_p"), entropy("n", "ny").alias("hp_y"))
+    hom = F.when(F.col("hy") == 0, 1.0).otherwise(1 - F.col("hy_p") / F.col("hy"))
+    com = F.when(F.col("hp") == 0, 1.0).otherwise(1 - F.col("hp_y") / F.col("hp"))
+    v = F.when(hom + com == 0, 0.0).otherwise(2 * hom * com / (hom + com))
+    return h.select(F.round(hom, 6).alias("homogeneity"), F.round(com, 6).alias("completeness"), F.round(v, 6).alias("v_measure"))
+
+
+def retrofit(values: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """``g, a, s, v``: vectors s drawn towards their neighbours' (edges g, a, b, both ways) in rounds.
+
+    Each round sets v to the mean of s and the neighbours' mean of the round before; nodes without neighbours keep s.
+    """
+    both = edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+    now = values.withColumn("v", F.col("s"))
+    for _ in range(rounds):
+        sent = both.join(now.select("g", F.col("a").alias("b"), "v"), ["g", "b"]).select("g", "a", F.posexplode("v").alias("k", "x"))
+        means = sent.groupBy("g", "a", "k").agg(F.avg("x").alias("x")).groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
+        now = now.drop("v").join(means, ["g", "a"], "left")
+        now = now.select("g", "a", "s", F.when(F.col("m").isNull(), F.col("s")).otherwise(F.zip_with("s", F.col("m.x"), lambda x, y: (x + y) / 2)).alias("v"))
+    return now
+
+
+def second_order_transitions(edges: DataFrame, p: float, q: float) -> DataFrame:
+    """``g, previous, node, following, p``: biased walk steps over undirected edges (g, a, b, weight).
+
+    Going back weighs 1/p, staying next to the previous node 1, moving away 1/q.
+    """
+    both = edges.select("g", "a", "b", "weight").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "weight")).dropDuplicates(["g", "a", "b"])
+    step = both.select("g", F.col("a").alias("previous"), F.col("b").alias("node"))
+    onward = both.select("g", F.col("a").alias("node"), F.col("b").alias("following"), "weight")
+    near = both.select("g", F.col("a").alias("previous"), F.col("b").alias("following"), F.lit(True).alias("near"))
+    steps = step.join(onward, ["g", "node"]).join(near, ["g", "previous", "following"], "left")
+    bias = F.when(F.col("following") == F.col("previous"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+    w = F.col("weight") * bias
+    return steps.withColumn("w", w).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("g", "previous", "node")))

@@ -482,3 +482,57 @@ def sts_soft_labels(t):
     low = F.floor("y")
     mass = F.when(F.col("class") == low + 1, F.col("y") - low).when(F.col("class") == low, low - F.col("y") + 1).otherwise(0.0)
     return rows.select("item", "class", F.round(mass, 6).alias("mass"))
+
+
+@query("with p as (select l_quantity as x, l_extendedprice as y from lineitem), r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as y from p) select round(corr(x, y), 6) as rho from r")
+def spearman(t):
+    """Correlation of average ranks; ranks come from the distinct values' counts, so rows are never sorted in one task."""
+    rows = t("lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    for c in ("x", "y"):
+        rows = rows.join(corpus.average_ranks(rows, c), c)
+    return rows.agg(F.round(F.corr("rank_x", "rank_y"), 6).alias("rho"))
+
+
+CONTINGENCY = """
+c as (select lang as y, source as p, count(*)::double as n from documents where lang is not null and source is not null group by all),
+z as (select sum(n) as total from c),
+a as (select y, sum(n) as n from c group by y), b as (select p, sum(n) as n from c group by p),
+h as (select (select -sum(n / total * ln(n / total)) from a, z) as hy, (select -sum(n / total * ln(n / total)) from b, z) as hp,
+  (select -sum(c.n / total * ln(c.n / b.n)) from c join b using (p), z) as hy_p, (select -sum(c.n / total * ln(c.n / a.n)) from c join a using (y), z) as hp_y),
+s as (select case when hy = 0 then 1 else 1 - hy_p / hy end as hom, case when hp = 0 then 1 else 1 - hp_y / hp end as com from h)
+"""
+
+
+@query("with " + CONTINGENCY + "select round(hom, 6) as homogeneity, round(com, 6) as completeness, round(case when hom + com = 0 then 0 else 2 * hom * com / (hom + com) end, 6) as v_measure from s")
+def v_measure(t):
+    return corpus.v_measure(t("documents").select(F.col("lang").alias("y"), F.col("source").alias("p")))
+
+
+EDGES = "e as (select conv_id as g, lag(turn) over w as a, turn as b from conversations window w as (partition by conv_id order by turn)), u as (select g, a, b from e where a is not null union all select g, b, a from e where a is not null)"
+ROUNDS = 3
+
+
+def _retrofit_sql() -> str:
+    steps = [f"v0 as (select conv_id as g, turn as a, length(text)::double as s, length(text)::double as v from conversations where text is not null), n as (select u.* from u join v0 x on x.g = u.g and x.a = u.a join v0 y on y.g = u.g and y.a = u.b)"]
+    for k in range(1, ROUNDS + 1):
+        steps.append(f"v{k} as (select x.g, x.a, any_value(x.s) as s, coalesce((count(y.v) * any_value(x.s) + sum(y.v)) / (2 * count(y.v)), any_value(x.s)) as v from v{k - 1} x left join n on n.g = x.g and n.a = x.a left join v{k - 1} y on y.g = n.g and y.a = n.b group by x.g, x.a)")
+    return f"with {EDGES}, " + ", ".join(steps) + f" select g, a, round(v, 6) as v from v{ROUNDS}"
+
+
+@query(_retrofit_sql())
+def retrofit_sequential(t):
+    turns = t("conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    edges = turns.select(F.col("conv_id").alias("g"), F.lag("turn").over(w).alias("a"), F.col("turn").alias("b")).filter("a is not null")
+    values = turns.filter("text is not null").select(F.col("conv_id").alias("g"), F.col("turn").alias("a"), F.array(F.length("text").cast("double")).alias("s"))
+    return corpus.retrofit(values, edges, ROUNDS).select("g", "a", F.round(F.col("v")[0], 6).alias("v"))
+
+
+@query(f"""with {EDGES}, d as (select distinct g, a, b from u),
+c as (select x.g, x.a as previous, x.b as node, y.b as following, case when y.b = x.a then 1 / 0.4 when z.a is not null then 1.0 else 1 / 0.5 end as w
+  from d x join d y on y.g = x.g and y.a = x.b left join d z on z.g = x.g and z.a = x.a and z.b = y.b)
+select g, previous, node, following, round(w / sum(w) over (partition by g, previous, node), 6) as p from c""")
+def transition_second(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    edges = t("conversations").select(F.col("conv_id").alias("g"), F.lag("turn").over(w).alias("a"), F.col("turn").alias("b"), F.lit(1.0).alias("weight")).filter("a is not null")
+    return corpus.second_order_transitions(edges, p=0.4, q=0.5).select("g", "previous", "node", "following", F.round("p", 6).alias("p"))
