@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.automaton import MEMO_ENTRIES, PATTERN, Automaton, load_merges
-from textloom.llm.common import text_or_empty, worker_state
+from textloom.llm.common import pieces, text_or_empty, worker_state
 
 
 class Codec:
@@ -126,7 +126,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, lambda: shared.value)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(len(keep)).to_pylist()
             n, packed, d1, d2 = [], [], [], []
             for text in texts:

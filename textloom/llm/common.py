@@ -9,6 +9,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -88,6 +89,13 @@ def worker_state(name: str) -> dict:
     return holder.state
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut into short ones, so that only a few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def release_memory() -> None:
     """Hands freed memory back to the system, as far as its C library can."""
     gc.collect()
