@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.automaton import MEMO_ENTRIES, PATTERN, Automaton, load_merges
-from textloom.llm.common import pieces, text_or_empty, worker_state
+from textloom.llm.common import pieces, short_batches, text_or_empty, worker_state
 
 
 class Codec:
@@ -111,6 +111,7 @@ def encode_documents(
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
+    short_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         data = f.read()
     key = hashlib.sha256(data.encode()).hexdigest()

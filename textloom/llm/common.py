@@ -29,6 +29,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 400_000
 
 
+#: Rows of an Arrow batch that holds whole texts.
+ARROW_ROWS = 2_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session sends ARROW_ROWS at most to a Python worker at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

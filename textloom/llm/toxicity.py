@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import BROADCAST_ROWS, text_or_empty, worker_state
+from textloom.llm.common import BROADCAST_ROWS, short_batches, text_or_empty, worker_state
 
 #: Punctuation and white space that parts words (fixed values).
 SEPARATORS = "\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -98,6 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     Rows with a null id or label, or an id that ``docs`` lacks, teach nothing.
     One task reads this bounded sample; without any row the bias is 0 and all scores 0.5.
     """
+    short_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id", F.lit(settings.seed)))
     chosen = chosen.orderBy("o", "doc_id").limit(min(settings.sample_rows, BROADCAST_ROWS))
