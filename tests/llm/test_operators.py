@@ -160,6 +160,23 @@ def test_quality_separates_junk(spark, docs, empty, labels):
     assert quality.reject_poor(docs, labels).columns == docs.columns
 
 
+def test_stretches_give_every_text_its_own_ngrams(monkeypatch):
+    texts = ["", "a", "abc\0de", "Él 12, naïve\n" * 9, "x" * 23, ""]
+    classes = [[0] * (quality.ORDER - 1) + [quality.class_of(ord(c)) for c in t] for t in texts]
+    wanted = []
+    for line in classes:
+        for end in range(quality.ORDER, len(line) + 1):
+            code = 0
+            for c in line[end - quality.ORDER : end]:
+                code = code * quality.CLASSES + c
+            wanted.append(code)
+    for size in (5, 16, 1 << 18):
+        monkeypatch.setattr(quality, "STRETCH", size)
+        groups = list(quality.stretches(texts))
+        assert all(sum(end - at for _, at, end in g) <= size for g in groups)
+        assert [x for g in groups for x in quality.grams(texts, g, quality.class_table())[0].tolist()] == wanted
+
+
 def test_toxicity_on_held_out_rows(spark, docs, empty, labels):
     d, known = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score_documents(d, known).filter("held_out").join(known, "doc_id").collect()
