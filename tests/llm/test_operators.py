@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -177,6 +178,48 @@ def test_stretches_give_every_text_its_own_ngrams(monkeypatch):
         assert [x for g in groups for x in quality.grams(texts, g, quality.class_table())[0].tolist()] == wanted
 
 
+def test_quality_equals_a_plain_model_and_hears_every_script(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("абвгдежзик") for _ in range(5)) for _ in range(12)]
+    good = [" ".join(r.choice(words) for _ in range(60)) for _ in range(30)]
+    junk = ["".join(r.sample(t, len(t))) for t in good[:5]]
+    order, start = quality.ORDER, "\1"
+    counts = {}
+    for t in good:
+        for i in range(len(t)):
+            g = (start * order + t)[i + 1 : i + 1 + order]
+            counts[g] = counts.get(g, 0) + 1
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+    discounts, totals, lefts = {}, {}, {}
+    for k, table in tables.items():
+        n = [0] + [sum(v == j for v in table.values()) for j in (1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        discounts[k] = [min(max(j - (j + 1) * y * n[j + 1] / n[j], 0.05), j - 0.05) if n[j] else 0.5 for j in (1, 2, 3)]
+        for g, v in table.items():
+            totals[g[:-1]] = totals.get(g[:-1], 0) + v
+            lefts[g[:-1]] = lefts.get(g[:-1], 0) + discounts[k][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(tables[1]) + 1)
+        if g[:-1] not in totals:
+            return p(g[1:])
+        v = tables[len(g)].get(g, 0)
+        return (v - discounts[len(g)][min(v, 3) - 1] if v else 0) / totals[g[:-1]] + lefts[g[:-1]] / totals[g[:-1]] * p(g[1:])
+
+    texts = good + junk + ["語 unseen"]
+    model = quality.Model(quality.count_grams(spark.createDataFrame([(t,) for t in good], "text string").repartition(3)), quality.Scratch(spark, "test"))
+    got = {x.doc_id: x["__p"] for x in quality.with_perplexity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        logs = [math.log(p((start * order + t)[j + 1 : j + 1 + order])) for j in range(len(t))]
+        assert got[i] == pytest.approx(math.exp(-sum(logs) / len(t)), rel=1e-5)
+    assert min(got[i] for i in range(30, 35)) > 2 * max(got[i] for i in range(30))
+
+
 def test_toxicity_on_held_out_rows(spark, docs, empty, labels):
     d, known = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score_documents(d, known).filter("held_out").join(known, "doc_id").collect()

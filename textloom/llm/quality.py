@@ -1,61 +1,48 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
-The model's symbols are classes of characters, 48 in all, so a table of all
-n-grams of order 4 has a fixed bound (48**4 cells) however large the corpus is,
-while the counts in it come from all trusted text.  Counts, continuation counts
-and context statistics are tables sharded by n-gram and joined with each other.
+The symbols are the texts' characters as they are, nothing is folded, so the
+tables of n-grams, contexts and probabilities grow with the trusted texts.  They
+are sharded by n-gram and joined with each other.  To score, documents are dealt
+into blocks; each block's distinct n-grams, not its texts, are joined with the
+tables, and the block gets back one number for each.
+
+An n-gram is kept as binary, three bytes a symbol, so equality is exact.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import Scratch, maybe_broadcast, pieces, short_batches, text_or_empty, worker_state
+from textloom.llm.common import Scratch, maybe_broadcast, short_batches, text_or_empty, worker_state
 
-ORDER = 4
-CLASSES = 48
-#: Share of the trusted texts of a language whose perplexity stays below its threshold.
+ORDER = 5
+#: Bytes of a symbol in an n-gram.
+WIDE = 3
+#: Symbols: every code point, and the text's beginning.
+CLASSES = 0x110001
+#: Share of the held-out trusted texts of a language whose perplexity stays below its threshold.
 QUANTILE = 0.995
-#: Code points looked up in a table; those beyond are "other letter" or "symbol".
-TABLE = 0x3000
+#: One of so many trusted texts is held out for the thresholds: texts that the model has read look better than others.
+HELD_OUT = 5
 #: Characters whose n-grams are in memory at a time.
 STRETCH = 1 << 18
+#: Bytes of text in a block of documents that is scored together.
+BLOCK_BYTES = 16 << 20
 
 
 def class_of(code: int) -> int:
-    """Class of a code point. 0 is kept for the text's beginning."""
-    ch = chr(code)
-    if "a" <= ch <= "z":
-        return 1 + ord(ch) - ord("a")
-    if ch in "\n\r":
-        return 28
-    if ch.isspace():
-        return 27
-    if ch.isdigit():
-        return 29
-    if ch.isupper():
-        return 30
-    if ch.isalpha():
-        base = unicodedata.normalize("NFD", ch)[0]
-        return 31 + "aeioun".find(base) if base in "aeioun" else 37 if base == "c" else 38 if ch == "ß" else 39 if "LATIN" in unicodedata.name(ch, "") else 40
-    if ch in ".,!?-'\"":
-        return {".": 41, ",": 42, "!": 43, "?": 43, "-": 44, "'": 45, '"': 45}[ch]
-    if unicodedata.category(ch).startswith("P"):
-        return 46
-    return 47
+    """Symbol of a code point. 0 is kept for the text's beginning."""
+    return code + 1
 
 
 def class_table() -> np.ndarray:
-    return np.array([class_of(c) for c in range(TABLE)] + [40], np.uint8)
+    return np.arange(1, CLASSES, dtype=np.int64)
 
 
 def stretches(texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
@@ -73,37 +60,82 @@ def stretches(texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
         yield group
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def grams(texts: list[str], group: list[tuple[int, int, int]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of a group, as a number, and the characters of each member."""
+    """The n-gram that ends at each character of a group, as a number, and the characters of each member.
+
+    ``table`` numbers the code points from 1; numbers too long for 64 bits are Python's.
+    """
     before = ORDER - 1  # characters read ahead of each member; at a text's beginning their class is 0
     joined = "".join("\0" * before + texts[i][:end] if at == 0 else texts[i][at - before : end] for i, at, end in group)
-    classes = table[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), TABLE)]
+    classes = table[codes_of(joined)]
     lengths = np.array([end - at for _, at, end in group], np.int64)
     starts = np.cumsum(lengths + before) - lengths
     begins = starts[[at == 0 for _, at, _ in group]]
     for k in range(1, ORDER):
         classes[begins - k] = 0
-    code = np.zeros(len(classes) - before, np.int32)
+    base = int(table.max()) + 1
+    code = np.zeros(len(classes) - before, np.int64 if base**ORDER < 1 << 63 else object)
     for k in range(ORDER):
-        code *= CLASSES
+        code *= base
         code += classes[k : len(classes) - before + k]
     return code[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)) * before, lengths)], lengths
 
 
+def alphabet(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A table that numbers the texts' characters from 1, and the symbol of each number."""
+    seen = np.zeros(CLASSES - 1, bool)
+    for group in stretches(texts):
+        for i, at, end in group:
+            seen[codes_of(texts[i][at:end])] = True
+    symbols = np.flatnonzero(seen)
+    table = np.zeros(CLASSES - 1, np.int64)
+    table[symbols] = np.arange(1, len(symbols) + 1)
+    return table, np.append(0, symbols + 1)
+
+
+def distinct(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' n-grams in order, and how often each occurs. Does not depend on the order of the texts."""
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        every, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return every, np.bincount(at.ravel(), weights=np.concatenate([p[1] for p in parts]), minlength=len(every)).astype(np.int64)
+
+    parts: list = []
+    for group in stretches(texts):
+        parts.append(np.unique(grams(texts, group, table)[0], return_counts=True))
+        if len(parts) == 16:
+            parts = [merged(parts)]
+    return merged(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def as_binary(codes: np.ndarray, symbols: np.ndarray) -> pa.Array:
+    """n-grams as binary, WIDE bytes a symbol, the highest first."""
+    cells = np.zeros((len(codes), ORDER * WIDE), np.uint8)
+    for k in range(ORDER - 1, -1, -1):
+        symbol = symbols[(codes % len(symbols)).astype(np.int64)]
+        codes = codes // len(symbols)
+        for j in range(WIDE):
+            cells[:, k * WIDE + j] = (symbol >> (8 * (WIDE - 1 - j))) & 255
+    offsets = np.arange(len(cells) + 1, dtype=np.int32) * (ORDER * WIDE)
+    return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets), pa.py_buffer(cells.tobytes())])
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram, n``: counts over all texts. Each task sends its distinct n-grams once."""
+    """``gram, n``: counts over all texts. Each batch sends its distinct n-grams once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("kneser-ney")  # frees what an operator before has kept
-        table, total = class_table(), np.zeros(CLASSES**ORDER, np.int64)
-        for batch in pieces(batches):
+        for batch in batches:
             texts = batch.column(0).to_pylist()
-            for group in stretches(texts):
-                np.add.at(total, grams(texts, group, table)[0], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+            table, symbols = alphabet(texts)
+            codes, n = distinct(texts, table)
+            yield pa.RecordBatch.from_arrays([as_binary(codes, symbols), pa.array(n)], names=["gram", "n"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounted(table: DataFrame) -> tuple[DataFrame, list[float]]:
@@ -115,92 +147,121 @@ def _discounted(table: DataFrame) -> tuple[DataFrame, list[float]]:
     return table.withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])), d
 
 
-def kneser_ney(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order from 1: (n-grams, probabilities, contexts, weights of the lower order).
-
-    Only distinct n-grams of class symbols reach the driver: 48**4 at most.
+class Model:
+    """``probabilities[k]`` (``key, p``) and ``weights[k]`` (``context, gamma``) of the order k, as sharded tables."""
+
+    def __init__(self, counts: DataFrame, scratch: Scratch):
+        tables = {ORDER: counts}
+        for k in range(ORDER - 1, 0, -1):  # lower orders count in how many contexts a suffix was seen
+            shorter = tables[k + 1].groupBy(F.expr(f"substring(gram, {WIDE + 1})").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+            tables[k] = scratch.put(shorter, f"counts{k}")
+        #: What a symbol has that no trusted text holds.
+        self.least = 1.0 / (tables[1].count() + 1)
+        self.probabilities, self.weights = {}, {}
+        for k in range(1, ORDER + 1):
+            table, _ = _discounted(tables[k])
+            table = table.withColumn("context", F.expr(f"substring(gram, 1, {WIDE * (k - 1)})"))
+            context = table.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
+            context = self.weights[k] = scratch.put(context, f"contexts{k}")
+            joined, below = table.join(context, "context"), F.lit(self.least)
+            if k > 1:
+                lower = self.probabilities[k - 1].select(F.col("key").alias("suffix"), F.col("p").alias("below"))
+                joined, below = joined.withColumn("suffix", F.expr(f"substring(gram, {WIDE + 1})")).join(lower, "suffix"), F.col("below")
+            p = (F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below
+            self.probabilities[k] = scratch.put(joined.select(F.col("gram").alias("key"), p.alias("p")), f"p{k}")
+
+    def logs(self, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+        """``gram, log`` of distinct n-grams; those an order lacks go on to the next lower one."""
+        left, found = wanted.select("gram", F.col("gram").alias("key"), F.lit(0.0).alias("w")), []
+        for k in range(ORDER, 0, -1):
+            joined = scratch.put(left.join(self.probabilities[k], "key", "left"), f"order{k}")
+            found.append(joined.filter("p is not null").select("gram", (F.col("w") + F.log("p")).alias("log")))
+            missed = joined.filter("p is null").withColumn("context", F.expr(f"substring(key, 1, {WIDE * (k - 1)})"))
+            weights = self.weights[k] if k > 1 else F.broadcast(self.weights[k])  # one row: the empty context
+            left = missed.join(weights.select("context", "gamma"), "context", "left")
+            left = left.select("gram", F.expr(f"substring(key, {WIDE + 1})").alias("key"), (F.col("w") + F.log(F.coalesce("gamma", F.lit(1.0)))).alias("w"))
+        found.append(left.select("gram", (F.col("w") + F.log(F.lit(self.least))).alias("log")))
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        return every
+
+
+def with_perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ``__p``: each text's perplexity, null for a text without characters.
+
+    Rows are dealt into blocks by id and text.  What a block gathers is a number
+    for each of its distinct n-grams, in their order.
     """
-    tables = [counts]
-    for k in range(ORDER - 1, 0, -1):  # lower orders count in how many contexts a suffix was seen
-        tables.append(tables[-1].groupBy(F.pmod("gram", F.lit(CLASSES**k)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    lower, found = None, []
-    for k, table in enumerate(reversed(tables), 1):
-        table, _ = _discounted(table)
-        table = table.withColumn("context", F.expr(f"gram div {CLASSES}"))
-        context = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        context = context.select("context", "total", (F.col("left") / F.col("total")).alias("gamma"))
-        joined = table.join(context, "context").withColumn("suffix", F.pmod("gram", F.lit(CLASSES ** (k - 1))))
-        if lower is None:
-            below: Column = F.lit(1.0 / CLASSES)
-        else:
-            joined, below = joined.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix"), F.col("below")
-        lower = joined.select("gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below).alias("p"))
-        p, g = lower.toArrow(), context.select("context", "gamma").toArrow()
-        found.append((p["gram"].to_numpy(), p["p"].to_numpy(), g["context"].to_numpy(), g["gamma"].to_numpy()))
-        # Lineage ends here: the next order reads this one's values as a table of bounded size.
-        lower = counts.sparkSession.createDataFrame(p)
-    return found
-
-
-def dense_logs(model: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log p of every n-gram of the highest order."""
-    p = np.full(CLASSES, 1.0 / CLASSES)  # of the order below, its highest order's symbols first
-    for k, (at, seen, contexts, gamma) in enumerate(model, 1):
-        weight = np.ones(CLASSES ** (k - 1))
-        weight[contexts] = gamma
-        below, p = p, weight.repeat(CLASSES)
-        p.reshape(-1, len(below))[:] *= below  # an n-gram's suffix is the n-gram without its first symbol
-        p[at] = seen
-    return np.log(p, out=p).astype(np.float32)
-
-
-def perplexity_column(spark, model: list):
-    """A function of a text column: its perplexity, null for a text without symbols."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by 48**4 n-grams
-    key = uuid.uuid4().hex
-
-    def perplexity(texts: pd.Series) -> pd.Series:
-        state = worker_state("kneser-ney")
-        if state.get("key") != key:
-            state |= {"key": key, "logs": dense_logs(shared.value), "table": class_table()}
-        texts = texts.fillna("").tolist()
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lookups")
+    size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
+    blocks = max(-(-size // BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("__block")
+    dealt = docs.select(block, "*")
+    texts = docs.select(block, text_or_empty(text_col).alias("text"))
+
+    def gather(rows: pa.Table) -> pa.Table:
+        worker_state("kneser-ney")
+        texts = rows.column("text").to_pylist()
+        table, symbols = alphabet(texts)
+        codes, _ = distinct(texts, table)
+        own = pa.array(np.full(len(codes), rows.column(0)[0].as_py(), np.int32))
+        return pa.table([own, pa.array(np.arange(len(codes), dtype=np.int32)), as_binary(codes, symbols)], names=["__block", "place", "gram"])
+
+    wanted = scratch.put(texts.groupBy("__block").applyInArrow(gather, "__block int, place int, gram binary"), "wanted")
+    logs = model.logs(wanted.select("gram").distinct(), scratch)
+    answers = wanted.join(logs, "gram").select("__block", "place", F.col("log").cast("float").alias("log"))
+    out = T.StructType([*docs.schema.fields, T.StructField("__p", T.DoubleType())])
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        worker_state("kneser-ney")
+        texts = [t or "" for t in rows.column(text_col).to_pylist()]
         sums, n = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
-        for group in stretches(texts):
-            found, lengths = grams(texts, group, state["table"])
-            part = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=state["logs"][found], minlength=len(lengths))
-            np.add.at(sums, [i for i, _, _ in group], part)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return pd.Series(np.where(n > 0, np.exp(-sums / n), np.nan), dtype=float)
+        if n.any():
+            table, _ = alphabet(texts)
+            codes, _ = distinct(texts, table)
+            logs = np.full(len(codes), np.nan)
+            logs[answers.column("place").to_numpy()] = answers.column("log").to_numpy()
+            assert answers.num_rows == len(codes) and not np.isnan(logs).any(), "a block lacks n-grams"
+            for group in stretches(texts):
+                found, lengths = grams(texts, group, table)
+                every, at = np.unique(found, return_inverse=True)
+                values = logs[np.searchsorted(codes, every)][at.ravel()]
+                part = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=values, minlength=len(lengths))
+                np.add.at(sums, [i for i, _, _ in group], part)
+        p = pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)
+        return rows.drop_columns(["__block"]).append_column("__p", p)
 
-    column = F.pandas_udf(perplexity, T.DoubleType())
-    return lambda c: F.nanvl(column(c), F.lit(None).cast("double"))
+    return dealt.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(score, out)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """Trains on the rows of docs whose id is in ``trusted`` and finds each language's threshold.
 
-    Returns (perplexity function, table ``lang, threshold``).  Languages without a
-    trusted text take the threshold of all trusted texts; without any, nothing is rejected.
+    One in HELD_OUT of their texts is not counted but gives the thresholds.
+    Returns (model, table ``lang, threshold``, threshold of all).  Languages without
+    a held-out text take the threshold of all; without any, nothing is rejected.
     """
     spark = docs.sparkSession
     short_batches(spark)
+    scratch = Scratch(spark, "ngrams")
     ids = trusted.select(F.col(id_col).alias("__id")).dropna().distinct()
     own = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    training = own.join(maybe_broadcast(ids), "__id", "left_semi").select("text", "lang")
-    counts = Scratch(spark, "ngrams").put(count_grams(training.select("text")), "counts")
-    model = kneser_ney(counts)
-    perplexity = perplexity_column(spark, model)
-    scored = training.select("lang", perplexity(F.col("text")).alias("p")).filter(F.col("p").isNotNull())
-    cut = F.percentile_approx("p", quantile, 10000).alias("threshold")
-    by_lang = scored.groupBy("lang").agg(cut)
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0  # copies of a text stay together
+    training = own.join(maybe_broadcast(ids), "__id", "left_semi").withColumn("held", held)
+    counts = scratch.put(count_grams(training.filter(~F.col("held")).select("text")), "counts")
+    model = Model(counts, scratch)
+    scored = with_perplexity(training.filter("held").drop("held"), model, "__id", "text").select("lang", F.col("__p").alias("p"))
+    scored = scratch.put(scored.filter(F.col("p").isNotNull()), "held-out")
+    by_lang = scored.groupBy("lang").agg(F.percentile_approx("p", quantile, 10000).alias("threshold"))
     overall = scored.agg(F.percentile_approx("p", quantile, 10000)).first()[0]
-    return perplexity, by_lang, overall
+    return model, by_lang, overall
 
 
-def _judged(docs: DataFrame, perplexity, by_lang: DataFrame, overall: float | None, text_col: str, lang_col: str) -> DataFrame:
+def _judged(docs: DataFrame, model: Model, by_lang: DataFrame, overall: float | None, text_col: str, lang_col: str) -> DataFrame:
     """docs with ``__p`` and ``__t``: perplexity, and the threshold of its language."""
     cuts = by_lang.select(F.col("lang").alias("__lang"), F.col("threshold").alias("__own"))
-    joined = docs.withColumn("__p", perplexity(F.col(text_col))).join(maybe_broadcast(cuts, 10_000), F.col(lang_col).eqNullSafe(F.col("__lang")), "left")
+    joined = with_perplexity(docs, model, "doc_id", text_col).join(maybe_broadcast(cuts, 10_000), F.col(lang_col).eqNullSafe(F.col("__lang")), "left")
     return joined.withColumn("__t", F.coalesce("__own", F.lit(overall).cast("double"))).drop("__lang", "__own")
 
 
@@ -212,8 +273,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     of its own; repeated rows score alike; an empty table gives none; other
     columns are not read.
     """
-    perplexity, by_lang, overall = fit(docs, labels.filter("quality = 1"), quantile)
-    judged = _judged(docs.select("doc_id", "lang", "text"), perplexity, by_lang, overall, "text", "lang")
+    model, by_lang, overall = fit(docs, labels.filter("quality = 1"), quantile)
+    judged = _judged(docs.select("doc_id", "lang", "text"), model, by_lang, overall, "text", "lang")
     return judged.select(
         "doc_id", "lang", F.length(text_or_empty("text")).cast("long").alias("n_chars"), F.col("__p").alias("perplexity"), F.col("__t").alias("threshold"), _kept().cast("int").alias("keep")
     )
@@ -225,5 +286,5 @@ def _kept() -> Column:
 
 def reject_poor(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of docs, all columns, that are kept."""
-    perplexity, by_lang, overall = fit(docs, labels.filter("quality = 1"), quantile)
-    return _judged(docs, perplexity, by_lang, overall, "text", "lang").filter(_kept()).drop("__p", "__t")
+    model, by_lang, overall = fit(docs, labels.filter("quality = 1"), quantile)
+    return _judged(docs, model, by_lang, overall, "text", "lang").filter(_kept()).drop("__p", "__t")
