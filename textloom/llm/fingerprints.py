@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import text_or_empty, worker_state
+from textloom.llm.common import short_batches, text_or_empty, worker_state
 
 CLASSES = 256
 PERIOD = 4096
@@ -30,6 +30,8 @@ SAMPLES = 96
 SEED = 7
 #: Characters walked over at once.
 CELLS = 4 << 20
+#: Members of a bucket that meet in one block.
+BLOCK = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -190,9 +192,11 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, digits: i
     """Likely near-copies: ``doc_id, rep_id, likeness`` with likeness of at least ``least``.
 
     Each band takes a few seeded sample steps of a level; equal digits there put
-    documents in one bucket.  In a bucket each is compared with the smallest id
-    alone, so a bucket gives as many rows as it has documents.  Longer prints also
-    join at the next coarser level, as lengths of near-copies differ.
+    documents in one bucket.  All pairs of a bucket are compared: its members are
+    dealt to blocks of bounded size, and every two blocks meet.  Longer prints also
+    join at the next coarser level, as lengths of near-copies differ.  ``rep_id``
+    is the smaller id; documents of equal prints are paired with the smallest
+    alone, which stands for them in the other pairs.  Prints without an id are left out.
     """
     spark = prints.sparkSession
 
@@ -221,15 +225,50 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, digits: i
     # Equal prints are one class; only its smallest id goes on.
     own = prints.filter(F.length("fingerprint") > 2).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     copies = prints.join(own.withColumnRenamed("doc_id", "rep_id"), "fingerprint").filter(F.col("doc_id") != F.col("rep_id")).select("doc_id", "rep_id", F.lit(1.0).alias("likeness"))
-    bucketed = own.select("doc_id", "fingerprint", F.explode(keyed("fingerprint")).alias("bucket"))
-    heads = bucketed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = (
-        bucketed.join(heads, "bucket").filter(F.col("doc_id") != F.col("head.doc_id"))
-        .select("doc_id", "fingerprint", F.col("head.doc_id").alias("rep_id"), F.col("head.fingerprint").alias("other")).distinct()
-    )
+    bucketed = own.filter("doc_id is not null").select("doc_id", "fingerprint", F.explode(keyed("fingerprint")).alias("bucket"))
+    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocked = bucketed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "fingerprint")
+    a = dealt.filter("own = x").select("bucket", "x", "y", F.col("doc_id").alias("a"), F.col("fingerprint").alias("pa"))
+    b = dealt.filter("own = y").select("bucket", "x", "y", F.col("doc_id").alias("b"), F.col("fingerprint").alias("pb"))
+    met = a.join(b, ["bucket", "x", "y"]).filter("x < y or pa < pb")
+    swap = F.col("a") > F.col("b")
+    pairs = met.select(
+        F.greatest("a", "b").alias("doc_id"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("fingerprint"),
+        F.least("a", "b").alias("rep_id"), F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("other"),
+    ).distinct()
     return copies.unionByName(pairs.withColumn("likeness", alike("fingerprint", "other")).filter(F.col("likeness") >= least).select("doc_id", "rep_id", "likeness"))
 
 
+def whole_likeness(walker: Walker, a: str, b: str) -> float:
+    """Share of all steps, of either text's walk, at which both wrote alike (1.0 for two empty texts)."""
+    written = []
+    for codes in (codes_of(a), codes_of(b)):
+        left = walk(walker, [codes])[0]
+        written.append(codes[np.searchsorted(left, np.arange(left[-1]), side="right")] if len(codes) else codes)
+    n, most = min(map(len, written)), max(map(len, written))
+    return float((written[0][:n] == written[1][:n]).sum()) / most if most else 1.0
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, slack: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, rep_id, likeness`` of near-copies, verified on the texts' whole embeddings.
+
+    Candidates are those of ``near_pairs`` whose sampled likeness is at least ``least - slack``.
+    Ids are taken as unique; rows without one are left out.
+    """
+    short_batches(docs.sparkSession)
+
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        walker = _walker()
+        return pd.Series([whole_likeness(walker, x, y) for x, y in zip(a, b)], dtype=float)
+
+    pairs = near_pairs(fingerprints(docs, id_col, text_col), least - slack).select("doc_id", "rep_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("a"))
+    joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep_id"), F.col("a").alias("b")), "rep_id")
+    return joined.select("doc_id", "rep_id", F.pandas_udf(compare, T.DoubleType())("a", "b").alias("likeness")).filter(F.col("likeness") >= least)
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprints of every text, of its edited text, and how alike they and the next document's are.
 
