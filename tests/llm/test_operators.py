@@ -175,10 +175,10 @@ def test_stretches_give_every_text_its_own_ngrams(monkeypatch):
         monkeypatch.setattr(quality, "STRETCH", size)
         groups = list(quality.stretches(texts))
         assert all(sum(end - at for _, at, end in g) <= size for g in groups)
-        assert [x for g in groups for x in quality.grams(texts, g, quality.class_table())[0].tolist()] == wanted
+        assert [x for g in groups for x in quality.grams_of(texts, g, quality.class_table())[0].tolist()] == wanted
 
 
-def test_quality_equals_a_plain_model_and_hears_every_script(spark):
+def test_quality_equals_a_plain_model_and_hears_every_script(spark, monkeypatch):
     r = random.Random(5)
     words = ["".join(r.choice("абвгдежзик") for _ in range(5)) for _ in range(12)]
     good = [" ".join(r.choice(words) for _ in range(60)) for _ in range(30)]
@@ -213,7 +213,8 @@ def test_quality_equals_a_plain_model_and_hears_every_script(spark):
 
     texts = good + junk + ["語 unseen"]
     model = quality.Model(quality.count_grams(spark.createDataFrame([(t,) for t in good], "text string").repartition(3)), quality.Scratch(spark, "test"))
-    got = {x.doc_id: x["__p"] for x in quality.with_perplexity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 2000)
+    got = {x.doc_id: x.perplexity for x in quality.with_perplexity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     for i, t in enumerate(texts):
         logs = [math.log(p((start * order + t)[j + 1 : j + 1 + order])) for j in range(len(t))]
         assert got[i] == pytest.approx(math.exp(-sum(logs) / len(t)), rel=1e-5)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.automaton import MEMO_ENTRIES, PATTERN, Automaton, load_merges
-from textloom.llm.common import pieces, short_batches, text_or_empty, worker_state
+from textloom.llm.common import free_names, pieces, release_memory, text_or_empty, worker_state
 
 
 class Codec:
@@ -111,7 +111,6 @@ def encode_documents(
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    short_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         data = f.read()
     key = hashlib.sha256(data.encode()).hexdigest()
@@ -122,7 +121,7 @@ def encode_documents(
     if digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     out = T.StructType([docs.schema[c] for c in keep] + fields)
-    source = docs.select(*[F.col(c) for c in keep], text_or_empty(text_col).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias(free_names(docs, "text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, lambda: shared.value)
@@ -148,12 +147,16 @@ def encode_documents(
             if digests:
                 columns += [pa.array(d1, pa.string()), pa.array(d2, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
+        release_memory()
 
     return source.mapInArrow(run, out)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """Texts of token ids, as ``text``; null ids give an empty text."""
+    """Texts of token ids, as ``text``; null ids give an empty text.
+
+    Ids that the vocabulary lacks, and nulls among ids, emit nothing, as in the tokenizer's library.
+    """
     keep = ["doc_id"] if keep is None else keep
     with open(tokenizer, encoding="utf-8") as f:
         data = f.read()
@@ -163,8 +166,10 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "token_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, lambda: shared.value)
-        for batch in batches:
-            texts = [codec.decode(array("I", ids or []).tobytes()).decode() for ids in batch.column(len(keep)).to_pylist()]
+        most = len(codec.out)
+        for batch in pieces(batches):
+            known = [array("I", [i for i in ids or [] if i is not None and 0 <= i < most]) for ids in batch.column(len(keep)).to_pylist()]
+            texts = [codec.decode(ids.tobytes()).decode() for ids in known]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[f.name for f in out.fields])
 
-    return encoded.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, out)
+    return encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(ids_col).alias(free_names(encoded, "ids")[0])).mapInArrow(run, out)

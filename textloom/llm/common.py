@@ -10,6 +10,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -29,30 +30,46 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 400_000
 
 
-#: Rows of an Arrow batch that holds whole texts.
+#: Rows of an Arrow batch that holds whole texts, where an operator writes its tables itself.
 ARROW_ROWS = 2_000
 
 
-def short_batches(spark: SparkSession) -> None:
-    """From now on the session sends ARROW_ROWS at most to a Python worker at a time."""
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, the session sends ARROW_ROWS at most to a Python worker at a time; afterwards as many as before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of our own, by application, where a local session names no shared one.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir or the checkpoint folder names it.
+
+    Only a local session, where driver and executors are one process, may go without: it gets a
+    temporary folder.  On a cluster that folder would be another on each machine, so this raises.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir()
-    return where
+    if where:
+        return where
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return _own_dirs[sc.applicationId]
 
 
 class Scratch:
@@ -117,15 +134,34 @@ def release_memory() -> None:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most ``limit`` rows; looks no further than that."""
+    """Whether df has at most ``limit`` rows; looks no further than that.
+
+    It runs df as far as that, so df should be a written table or a cheap scan.
+    """
     return df.limit(limit + 1).count() <= limit
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its measured row count allows; else Spark shuffles it."""
+    """df (see ``small``) with a broadcast hint if its measured row count allows; else Spark shuffles it."""
     return F.broadcast(df) if small(df, limit) else df
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until no column of docs has it (in any case)."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def packed_rows(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that helper columns beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 

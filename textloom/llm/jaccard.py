@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-1. Every text becomes a sorted array of 64-bit shingle hashes; its digest names
-   the set, so equal sets are one node from here on.
+1. Every text becomes a sorted array of shingles, each known by two independent 64-bit
+   hashes; its digest names the set, so equal sets are one node from here on.
 2. Shingles have a global order: rarer first by a frequency sketch of the whole
    corpus, then by hash.  Sets that are similar enough share a shingle among the
    first ``n - ceil(t*n) + 1``; those are the tiles a set belongs to.
@@ -9,7 +9,7 @@
    one of the band below is a guest there.  A parity bitmap of each set bounds the
    overlap from above, since every bit in which two bitmaps differ costs at least
    one shingle that is not shared; within a band bitmaps are alike in width.
-4. Pairs that the bound lets through are verified on the sorted arrays.
+4. Pairs that the bound lets through are verified on the sorted arrays, in both hashes.
 
 To avoid all pairs of a group of near-copies, each set is first verified against
 the representative it shares most tiles with, if the bitmaps allow.  Sets of one tile that are
@@ -19,20 +19,22 @@ like it, and a last one verifies all pairs left between components, so none is l
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import Scratch, maybe_broadcast, text_or_empty, worker_state
+from textloom.llm.common import Scratch, maybe_broadcast, packed_rows, pieces, release_memory, short_batches, text_or_empty, worker_state
 from textloom.llm.components import connected_components
 
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 16
+#: Sets whose tiles a task has sent and remembers.
+MEMO_SETS = 1 << 16
 #: Counters of the frequency sketch; its size does not depend on the corpus.
 SKETCH = 1 << 21
 #: Members of a tile that meet in one task.
@@ -54,42 +56,107 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Memo(dict):
+    """Two 64-bit hashes of each word, 16 bytes of BLAKE2b."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return found
+
+
+class Sets:
+    """Sets one after the other: shingles by their first and second hash, set i from ``at[i]`` to ``at[i + 1]``.
+
+    Within a set shingles are distinct and sorted by the first hash.
+    """
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, at: np.ndarray):
+        self.first, self.second, self.at = first, second, at
+        self.sizes = np.diff(at)
+
+    def digests(self) -> np.ndarray:
+        """A signed 64-bit name of each set, of both hashes of all its shingles; 0 for the empty one."""
+        with np.errstate(over="ignore"):
+            each = mix64(mix64(self.first * _K2 + np.uint64(1)) + self.second)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
+            names = mix64(total[self.at[1:]] - total[self.at[:-1]] + self.sizes.astype(np.uint64) * _K1).astype(np.int64)
+        names[names == 0] = 1
+        return np.where(self.sizes > 0, names, 0)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.at[i], self.at[i + 1])
+        return self.first[part], self.second[part]
+
+
 class Shingler:
-    """Sets of word n-grams as sorted arrays of hashes."""
+    """Sets of word n-grams."""
 
     def __init__(self, width: int):
         self.width = width
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        memo, values = self.memo, []
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = zlib.crc32(w) << 32 | zlib.crc32(w, 0x9747B28C)
-            values.append(h)
-        if not values:
-            return np.zeros(0, np.uint64)
-        h = mix64(np.array(values, np.uint64) + _K1)
-        k = min(self.width, len(h))
+        self.memo = Memo()
+
+    def _chained(self, words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the k words from each place on."""
         with np.errstate(over="ignore"):
-            out = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
+            out = np.full(len(at), np.uint64(k), np.uint64)
             for i in range(k):
-                out = mix64(out * _K1 + h[i : len(h) - k + 1 + i])
-        out.sort()
-        return out[np.concatenate([[True], out[1:] != out[:-1]])]
-
-
-def digest(values: np.ndarray) -> int:
-    """A signed 64-bit name of the set; 0 for the empty one."""
-    if not len(values):
+                out = mix64(out * _K1 + words[at + i])
+        return out
+
+    def __call__(self, texts: list[str]) -> Sets:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        hashes, counts = [], []
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+            counts.append(len(words))
+            hashes.append(b"".join(map(self.memo.__getitem__, words)))
+        both = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+        n = np.array(counts, np.int64)
+        ends = np.cumsum(n)
+        left = np.repeat(ends, n) - np.arange(len(both))  # words from each place to the text's end
+        at = np.flatnonzero(left >= self.width)
+        streams = []
+        for k in range(2):
+            words = mix64(both[:, k] + _K1)
+            whole = np.zeros(len(both), np.uint64)
+            whole[at] = self._chained(words, at, self.width)
+            for short in range(1, self.width):  # texts of fewer words are one shingle
+                one = (ends - n)[n == short]
+                whole[one] = self._chained(words, one, short)
+            streams.append(whole)
+        firsts, seconds, sizes = [], [], []
+        for end, count in zip(ends.tolist(), counts):
+            begin = end - count
+            end = begin + (max(count - self.width, 0) + 1 if count else 0)
+            x, y = streams[0][begin:end], streams[1][begin:end]
+            order = x.argsort(kind="stable")
+            x, y = x[order], y[order]
+            new = np.ones(len(x), bool)
+            same = x[1:] == x[:-1]
+            if same.any():
+                new[1:] = ~same
+                if (same & (y[1:] != y[:-1])).any():  # different shingles of one first hash
+                    order = np.lexsort((y, x))
+                    x, y = x[order], y[order]
+                    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                x, y = x[new], y[new]
+            firsts.append(x)
+            seconds.append(y)
+            sizes.append(len(x))
+        none = [np.zeros(0, np.uint64)]
+        return Sets(np.concatenate(firsts or none), np.concatenate(seconds or none), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64))
+
+
+def common_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share, by both hashes."""
+    small, big = (a, b) if len(a[0]) < len(b[0]) else (b, a)
+    if not len(small[0]):
         return 0
-    with np.errstate(over="ignore"):
-        total = mix64(values * _K2 + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(values)) * _K1
-        return int(mix64(np.array([total]))[0].astype(np.int64)) or 1
+    if (big[0][1:] == big[0][:-1]).any():
+        return len(set(zip(*(x.tolist() for x in small))) & set(zip(*(x.tolist() for x in big))))
+    where = np.minimum(np.searchsorted(big[0], small[0]), len(big[0]) - 1)
+    return int(((big[0][where] == small[0]) & (big[1][where] == small[1])).sum())
 
 
 def bitmap_bits(n: int, t: float) -> int:
@@ -97,10 +164,10 @@ def bitmap_bits(n: int, t: float) -> int:
     return 1 << max(6, min(15, int(np.ceil(5 * (1 - t) * n)).bit_length()))
 
 
-def bitmap(values: np.ndarray, t: float) -> bytes:
-    """Parity of how many shingles fall on each bit."""
-    bits = bitmap_bits(len(values), t)
-    odd = np.bincount((mix64(values) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+def bitmap(mixed: np.ndarray, t: float) -> bytes:
+    """Parity of how many shingles (their mixed first hashes) fall on each bit."""
+    bits = bitmap_bits(len(mixed), t)
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -149,41 +216,50 @@ def describe_sets(docs: DataFrame, width: int, t: float) -> DataFrame:
 
         def add() -> None:
             if each:
-                np.add(sketch, np.bincount((np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=sketch)
+                np.add.at(sketch, (np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), np.uint32(1))
                 each.clear()
 
-        for batch in batches:
-            n, digests, bits = [], [], []
-            for text in batch.column(2).to_pylist():
-                values = shingler(text)
-                n.append(len(values))
-                digests.append(digest(values))
-                bits.append(bitmap(values, t))
-                each.append(values)
-                held += len(values)
-                if held > GATHER:
-                    add()
-                    held = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), pa.array(bits, pa.binary())], names=out.names)
+        for batch in pieces(batches):
+            sets = shingler(batch.column(2).to_pylist())
+            mixed = mix64(sets.first)
+            bits = [bitmap(mixed[a:b], t) for a, b in zip(sets.at[:-1].tolist(), sets.at[1:].tolist())]
+            each.append(sets.first)
+            held += len(sets.first)
+            if held > GATHER:
+                add()
+                held = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.digests()), pa.array(bits, pa.binary())], names=out.names)
         add()
         if sketch.any():
-            pieces = np.array_split(sketch, 32)
+            parts = np.array_split(sketch, 32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(32), pa.int64()), pa.nulls(32, pa.int64()), pa.nulls(32, pa.int64()), pa.nulls(32, pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary())], names=out.names
+                [pa.array(range(32), pa.int64()), pa.nulls(32, pa.int64()), pa.nulls(32, pa.int64()), pa.nulls(32, pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=out.names
             )
+        release_memory()
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, out)
 
 
-def frequency_levels(pieces: DataFrame) -> np.ndarray:
+def frequency_levels(parts: DataFrame) -> np.ndarray:
     """Per counter of the sketch, how frequent its shingles are (8 bits): 0 up to what chance
-    puts on a counter, then in steps of a doubling of the excess."""
+    puts on a counter, then in steps of a doubling of the excess.
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(b), np.uint32).astype(np.int64) for b in rows["bits"])
-        return pd.DataFrame({"piece": [key[0]], "total": [zlib.compress(total.tobytes(), 1)]})
+    The tasks' counters are summed up as they arrive, in two rounds, so no task holds more than one sketch.
+    """
 
-    rows = pieces.groupBy("doc_id").applyInPandas(add, "piece long, total binary").collect()  # of fixed size
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in pieces(batches, 1):
+            (piece,), (packed,) = (batch.column(k).to_pylist() for k in range(2))
+            raw = zlib.decompress(packed)
+            values = np.frombuffer(raw, np.int64 if len(raw) == SKETCH // 32 * 8 else np.uint32)
+            totals[piece] = totals[piece] + values if piece in totals else values.astype(np.int64)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in totals.values()], pa.binary())], names=["piece", "total"])
+
+    kind = "piece long, total binary"
+    once = parts.select(F.col("doc_id").alias("piece"), "bits").repartition("piece", F.pmod(F.xxhash64("bits"), F.lit(16))).mapInArrow(add, kind)
+    rows = once.repartition("piece").mapInArrow(add, kind).collect()  # of fixed size
     if not rows:
         return np.zeros(SKETCH, np.uint8)
     counts = np.concatenate([np.frombuffer(zlib.decompress(r["total"]), np.int64) for r in sorted(rows, key=lambda r: r["piece"])])
@@ -193,34 +269,35 @@ def frequency_levels(pieces: DataFrame) -> np.ndarray:
 
 
 def tiles(docs: DataFrame, width: int, t: float, levels) -> DataFrame:
-    """``tile, n, digest``: the banded tiles of each set, once per set and task."""
+    """``tile, n, digest``: the banded tiles of each set, once per set and task (as far as a bounded memory of them goes)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank, seen = _shingler(width), shared.value, set()
-        for batch in batches:
+        for batch in pieces(batches):
+            sets = shingler(batch.column(0).to_pylist())
+            levels_of = rank[(sets.first % np.uint64(SKETCH)).astype(np.int64)]
             keys, sizes, names = [], [], []
-            for text in batch.column(0).to_pylist():
-                values = shingler(text)
-                name = digest(values)
+            for i, name in enumerate(sets.digests().tolist()):
                 if not name or name in seen:
                     continue
                 seen.add(name)
+                values, level = sets[i][0], levels_of[sets.at[i] : sets.at[i + 1]]
                 p = prefix_length(len(values), t)
-                level = rank[(values % np.uint64(SKETCH)).astype(np.int64)]
                 # Values are sorted by hash, so a stable sort by level gives the global order.
                 chosen = values[level == 0][:p] if (level == 0).sum() >= p else values[np.argsort(level, kind="stable")[:p]]
                 for band in bands(len(values), t):
                     keys.append(mix64(chosen + np.uint64(band)))
                     sizes.append(len(values))
                     names.append(name)
-            if len(seen) > 1 << 20:
+            if len(seen) > MEMO_SETS:
                 seen.clear()
             if keys:
                 k = np.array([len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(sizes, k)), pa.array(np.repeat(np.array(names, np.int64), k))], names=["tile", "n", "digest"]
                 )
+        release_memory()
 
     return docs.select("text").mapInArrow(run, "tile long, n long, digest long")
 
@@ -285,37 +362,47 @@ def shared_tiles(rows: DataFrame, t: float) -> DataFrame:
     return ordered.mapInArrow(run, "tile long, n long, digest long, rep long")
 
 
-def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, width: int, t: float) -> DataFrame:
+def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, width: int, t: float, scratch: Scratch, name: str) -> DataFrame:
     """Those pairs (a, b) of digests whose sets are similar enough.
 
     Each a goes with its pairs' b into groups of bounded size; their texts are fetched once and
-    shingled anew, and the sorted arrays are intersected.  ``owners`` names
-    one row (doc_id, h) of docs for each digest.
+    shingled anew, and the sorted arrays are intersected.  ``owners`` names a row (doc_id, h) of
+    docs for each digest, and how many rows equal it: of those one text is sent.
     """
     salt = F.pmod(F.xxhash64("b"), F.lit(64))
     salted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a").withColumn("salt", F.when(F.col("c") > 4 * BLOCK, salt).otherwise(0)).select("a", "b", "salt")
     members = salted.select("a", "salt", F.col("b").alias("digest"), F.lit(1).alias("role"))
     heads = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("digest"), F.lit(0).alias("role"))
-    needed = members.unionByName(heads).join(owners, "digest").select("a", "salt", "digest", "role", F.col("doc_id").alias("id"), F.col("h").alias("g"))
-    texts = docs.join(maybe_broadcast(needed), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("a", "salt", "role", "digest", "text")
+    needed = members.unionByName(heads).join(owners, "digest").select("a", "salt", "digest", "role", F.col("doc_id").alias("id"), F.col("h").alias("g"), "rows")
+    needed = scratch.put(needed, f"{name}-needed")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))
+
+    def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        return texts.join(maybe_broadcast(wanted), same).select("a", "salt", "role", "digest", "text")
+
+    texts = fetched(docs, needed.filter("rows = 1"))
+    repeated = needed.filter("rows > 1")
+    if not repeated.isEmpty():
+        once = docs.join(maybe_broadcast(repeated.select("id", "g").distinct()), same, "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(fetched(once, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, head, at = _shingler(width), None, None
-        for batch in batches:
+        for batch in pieces(batches, 64):
             found = []
-            for a, salt_, role, name, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                values = shingler(text)
-                if digest(values) != name:
-                    continue  # another row of the same id
+            sets = shingler(batch.column(4).to_pylist())
+            own = sets.digests().tolist()
+            for i, (a, salt_, role, name_) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if own[i] != name_:
+                    continue  # another row of the same id and hash
                 if not role:
-                    at, head = (a, salt_), values
+                    at, head = (a, salt_), tuple(x.copy() for x in sets[i])
                 elif at == (a, salt_):
-                    small, big = (values, head) if len(values) < len(head) else (head, values)
-                    where = np.searchsorted(big, small)
-                    common = int((big[np.minimum(where, len(big) - 1)] == small).sum())
-                    if common >= t * (len(small) + len(big) - common) - 1e-9:
-                        found.append((a, name))
+                    shared = common_shingles(sets[i], head)
+                    if shared >= t * (len(sets[i][0]) + len(head[0]) - shared) - 1e-9:
+                        found.append((a, name_))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+        release_memory()
 
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
 
@@ -324,7 +411,7 @@ def plausible(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
     """Those pairs (a, b) of digests that sizes and bitmaps allow; ``signatures``: digest, n, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             keep = []
             for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 low = 8 * min(len(x), len(y))
@@ -446,8 +533,14 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     words has none and links with nothing.  ``component_id`` is the smallest id
     reachable, null ids aside; a row without links has its own id.  Null texts
     count as empty, repeated rows get repeated results, an empty table gives none;
-    other columns are not read.  Sets are named by 64-bit digests.
+    other columns are not read.  Ids are whole numbers, or texts of such (any other
+    text ends the job).  Shingles are told apart by 128 bits, sets by 64-bit digests of those.
     """
+    with short_batches(docs.sparkSession):
+        return _components(docs, width, threshold, id_col, text_col)
+
+
+def _components(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
@@ -455,15 +548,16 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     sets = described.filter(F.col("digest").isNotNull()).select("doc_id", "h", "n", "digest")
     levels = frequency_levels(described.filter(F.col("digest").isNull()).select("doc_id", "bits"))
     signatures = described.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    owners = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("o"))
-    owners = scratch.put(owners.select("digest", "o.doc_id", "o.h"), "owners")
+    rows = sets.filter("n > 0").groupBy("digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    owners = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "rows")).alias("o"))
+    owners = scratch.put(owners.select("digest", "o.doc_id", "o.h", "o.rows"), "owners")
 
     tiled = scratch.put(shared_tiles(tiles(own, width, threshold, levels), threshold), "tiles")
     # Each set first meets the representative with which it shares most tiles.
     votes = tiled.filter("rep <> digest").groupBy("digest", "rep").agg(F.count(F.lit(1)).alias("c"))
     best = votes.groupBy("digest").agg(F.max(F.struct("c", "rep")).alias("m")).select(F.col("m.rep").alias("a"), F.col("digest").alias("b"))
     best = scratch.put(plausible(best, signatures, threshold), "best")
-    first = scratch.put(verified(best, owners, own, width, threshold), "first")
+    first = scratch.put(verified(best, owners, own, width, threshold, scratch, "best"), "first")
     roots = connected_components(first, scratch, "cc1")
 
     links, tried, left = first, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tiled
@@ -473,7 +567,7 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
             break
         met = scratch.put(meeting_pairs(rows, signatures, threshold, picks), f"met{k}")
         pairs = scratch.put(met.filter(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
-        links = scratch.put(links.unionByName(verified(pairs, owners, own, width, threshold)), f"links{k}")
+        links = scratch.put(links.unionByName(verified(pairs, owners, own, width, threshold, scratch, f"pairs{k}")), f"links{k}")
         roots = connected_components(links, scratch, f"cc{k + 2}")
         tried = tried.unionByName(pairs)
         left = rows.join(met.filter(F.col("a").isNull()).select("tile").distinct(), "tile", "left_semi")
@@ -482,7 +576,7 @@ def similar_components(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     classes = owners.select("digest", "doc_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component"))
     of_set = scratch.put(classes.join(smallest, "root").select("digest", "component"), "components")
-    result = sets.join(of_set, "digest", "left")
+    result = sets.join(maybe_broadcast(of_set), "digest", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "h")
 
 
@@ -491,14 +585,18 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, threshold: float = 0
 
     Of several rows with that id and text (repeated rows) one stays as well; rows
     without words all stay, and so do rows with a null id unless linked to one
-    that has an id.
+    that has an id.  Columns may have any names.
     """
+    scratch = Scratch(docs.sparkSession, "kept")
     found = similar_components(docs, width, threshold)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__s"))
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("s"))
     # Where rows of one id differ in text, the smallest hash stands for the id if they are linked.
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__n", "__s")
-    joined = docs.withColumn("__g", F.xxhash64("text")).join(maybe_broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = joined.filter("__n = 1 or __s = 0").select(*columns)
-    repeats = joined.filter("__n > 1 and __s > 0")
-    return single.unionByName(repeats.groupBy("__id", "__h").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*"))
+    chosen = scratch.put(chosen.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "n", "s"), "chosen")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("h"), packed_rows(docs).alias("row"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))
+    single = rows.join(maybe_broadcast(chosen.filter("n = 1 or s = 0")), same).select("row.*")
+    repeated = chosen.filter("n > 1 and s > 0")
+    if repeated.isEmpty():
+        return single
+    once = rows.join(maybe_broadcast(repeated), same).groupBy("id", "g").agg(F.first("row").alias("row"))
+    return single.unionByName(once.select("row.*"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, Scratch, maybe_broadcast, text_or_empty, unit_interval
+from textloom.llm.common import WORD, Scratch, maybe_broadcast, packed_rows, text_or_empty, unit_interval
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -15,6 +15,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Leaves meant for one node of the reduction tree.
 FAN_IN = 48
+#: Rows alike in id, text and source that are numbered in one task.
+NUMBERED = 1_000
 #: Below this, a probability counts as 0, and above 1 less this as 1.
 EPSILON = 1e-9
 
@@ -126,6 +128,11 @@ def mix(
     empty table gives none; other columns are not read.  The result depends on
     the rows' values and the seed alone.
     """  # noqa: D401
+    return _mixed_leaves(docs, seed, weights, share, most, id_col, text_col, source_col).drop("h", "nth")
+
+
+def _mixed_leaves(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float, most: float, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``mix`` with ``h`` and ``nth``, which tell its leaves apart: the text's hash and a number from 1 among rows alike."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     sizes = docs.select(
@@ -144,12 +151,12 @@ def mix(
     leaves = leaves.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "h", "size", "nth"))
     leaves = scratch.put(leaves.drop("expected"), "leaves")
 
-    kept = ["doc_id", "size", "source", "source_size", "target", "sure"]
+    kept = ["doc_id", "size", "source", "source_size", "target", "sure", "h", "nth"]
     result = leaves.filter("x = 0").select(*kept, F.lit(0.0).alias("x"))
     most_leaves = leaves.filter("x > 0").groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     # Nodes of a level are found by the low bits of a hash, fewer bits on each level.
     depth = max(1, math.ceil(math.log(max(most_leaves / FAN_IN, 1)) / math.log(FAN_IN)) + 1)
-    key = F.struct(*[F.col(c) for c in ("doc_id", "size", "sure")])
+    key = F.struct(*[F.col(c) for c in ("doc_id", "size", "sure", "h", "nth")])
     level = leaves.filter("x > 0").select("source", "source_size", "target", F.struct(key.alias("key"), F.col("x"), F.col("size").cast("double").alias("w"), F.col("u")).alias("c"))
     for k in range(depth):
         nodes = max(1, math.ceil(most_leaves / FAN_IN ** (k + 1))) if k < depth - 1 else 1
@@ -163,21 +170,58 @@ def mix(
     last = level.withColumn("c", F.col("c").withField("x", F.when(unit_interval(F.lit(seed + 99), F.col("c.u")) < F.col("c.x"), 1.0).otherwise(0.0)))
     result = result.unionByName(_settled(last))
     copies = (F.col("sure") + F.col("x").cast("long")).cast("long")
-    return result.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return result.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h", "nth")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
-    return rows.select("c.key.doc_id", "c.key.size", "source", "source_size", "target", "c.key.sure", "c.x")
+    return rows.select("c.key.doc_id", "c.key.size", "source", "source_size", "target", "c.key.sure", "c.key.h", "c.key.nth", "c.x")
 
 
-def mix_documents(docs: DataFrame, seed: int = 17, **settings) -> DataFrame:
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (id, h, source, n, row) with ``nth``, a number from 1 to n among rows alike in id, h and source.
+
+    Rows alike are dealt apart, NUMBERED or so together, and written before they are numbered, so no
+    window spans a group and a task that is run again finds the rows dealt as they were.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("n") / NUMBERED)))
+    dealt = scratch.put(dealt, "repeats")
+    group = ["id", "h", "source"]
+    before = Window.partitionBy(*group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*group, "salt").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.select(*[F.col(c).alias(f"{c}_") for c in (*group, "salt")], F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    same = F.lit(True)
+    for c in (*group, "salt"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    own = F.row_number().over(Window.partitionBy(*group, "salt").orderBy("salt"))
+    return dealt.withColumn("own", own).join(counts, same).select(*group, "row", (F.col("before") + F.col("own")).cast("long").alias("nth"))
+
+
+def mix_documents(
+    docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """The rows of docs, all columns, each as often as ``mix`` takes it.
 
-    Rows of one id, source and size share their copies evenly, rounded to the nearest.
+    Every row gets the copies of its own leaf.  Rows alike in id, text and source are numbered like
+    their leaves (which of them gets which number is free), so the result holds as many rows as
+    ``mix`` has copies in all.  Columns may have any names.
     """
-    chosen = mix(docs, seed, **settings).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("__copies")).filter("__copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    sized = docs.withColumn("__n", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    joined = sized.join(maybe_broadcast(chosen), same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "mixed")
+    leaves = scratch.put(_mixed_leaves(docs, seed, weights, share, most, id_col, text_col, source_col).select("doc_id", "h", "source", "nth", "copies"), "leaves")
+    repeated = scratch.put(leaves.groupBy("doc_id", "h", "source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(source_col).alias("source"), packed_rows(docs).alias("row"))
+
+    def as_row(other: DataFrame) -> Column:
+        return F.col("id").eqNullSafe(other["doc_id"]) & (F.col("rows.h") == other["h"]) & F.col("rows.source").eqNullSafe(other["source"])
+
+    if not repeated.isEmpty():
+        known, rows = maybe_broadcast(repeated), rows.alias("rows")
+        single = rows.join(known, as_row(known), "left_anti").withColumn("nth", F.lit(1).cast("long"))
+        several = rows.join(known, as_row(known)).select("id", "rows.h", "rows.source", "row", "n")
+        rows = single.unionByName(_numbered(several, scratch))
+    else:
+        rows = rows.withColumn("nth", F.lit(1).cast("long"))
+    chosen = maybe_broadcast(leaves.filter("copies > 0"))
+    rows = rows.alias("rows")
+    joined = rows.join(chosen, as_row(chosen) & (F.col("rows.nth") == chosen["nth"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import BROADCAST_ROWS, short_batches, text_or_empty, worker_state
+from textloom.llm.common import BROADCAST_ROWS, free_names, pieces, release_memory, short_batches, text_or_empty, worker_state
 
 #: Punctuation and white space that parts words (fixed values).
 SEPARATORS = "\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANK = {ord(c): " " for c in SEPARATORS}
 
 #: Words whose hash a worker remembers.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,7 @@ class Features:
         for w in found:
             h = memo.get(w)
             if h is None:
-                raw = w.encode("utf-8", "surrogatepass")
-                h = memo[w] = (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)) or 1
+                h = memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
             values.append(h)
         return np.array(values, np.uint64)
 
@@ -93,21 +92,24 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Non-zero weights: (coordinates, values, bias).
 
-    Learns from at most ``settings.sample_rows`` rows of ``labels``, those that a
-    seeded hash of the id puts first (of several labels for an id, the largest).
-    Rows with a null id or label, or an id that ``docs`` lacks, teach nothing.
+    Learns from at most ``settings.sample_rows`` ids of ``labels`` (more than BROADCAST_ROWS
+    are refused), those that a seeded hash of the id puts first; of several labels for an id the
+    largest, of several texts the one with the smallest hash, so an id teaches once however often
+    it is repeated.  Rows with a null id or label, or an id that ``docs`` lacks, teach nothing.
     One task reads this bounded sample; without any row the bias is 0 and all scores 0.5.
     """
-    short_batches(docs.sparkSession)
+    if settings.sample_rows > BROADCAST_ROWS:
+        raise ValueError(f"sample_rows is at most {BROADCAST_ROWS}")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id", F.lit(settings.seed)))
-    chosen = chosen.orderBy("o", "doc_id").limit(min(settings.sample_rows, BROADCAST_ROWS))
+    chosen = chosen.orderBy("o", "doc_id").limit(settings.sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id")  # bounded by sample_rows
+    sample = sample.groupBy("o", "y", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("o", "y", F.col("t.text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [np.unique(features(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["o", "y", "f"])
 
@@ -123,20 +125,32 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["at", "w"])
 
-    found = sample.select("o", "y", "text").mapInArrow(hashed, "o long, y int, f binary").repartition(1).mapInArrow(fit, "at long, w double").collect()
+    with short_batches(docs.sparkSession):
+        found = sample.mapInArrow(hashed, "o long, y int, f binary").repartition(1).mapInArrow(fit, "at long, w double").collect()
     at, w = np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found])
     end = 1 << settings.bits
     return at[at < end], w[at < end], float(w[at == end].sum())
 
 
-def score_column(spark, model: tuple[np.ndarray, np.ndarray, float], settings: Settings = Settings()):
-    """A function of a text column: the score from 0 to 1, higher for likelier toxic; null counts as empty."""
-    shared = spark.sparkContext.broadcast(model)  # non-zero weights, 2**bits at most
-    key = uuid.uuid4().hex
-
-    def score(texts):
-        import pandas as pd
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings: Settings, text_col: str, name: str, below: float | None = None) -> DataFrame:
+    """docs with a column ``name``: the score from 0 to 1, higher for likelier toxic; a null text counts as empty.
 
+    With ``below`` only rows of a lower score come.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # non-zero weights, 2**bits at most
+    key, at_text = uuid.uuid4().hex, docs.columns.index(text_col)
+    out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def total(features: Features, dense: np.ndarray, bias: float, text: str) -> float:
+        at = features(text)
+        w = dense[at]
+        hit = np.flatnonzero(w)
+        if not len(hit):
+            return bias
+        _, first = np.unique(at[hit], return_index=True)  # each feature counts once
+        return float(w[hit[first]].sum(dtype=np.float64)) + bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("toxicity")
         if state.get("id") != key:
             at, w, bias = shared.value
@@ -144,22 +158,14 @@ def score_column(spark, model: tuple[np.ndarray, np.ndarray, float], settings: S
             dense[at] = w
             state |= {"id": key, "dense": dense, "bias": bias, "features": state.get("features") or Features(settings.bits)}
         dense, bias, features = state["dense"], state["bias"], state["features"]
-        totals = []
-        for t in texts:
-            at = features(t or "")
-            w = dense[at]
-            hit = np.flatnonzero(w)
-            if len(hit):  # each feature counts once
-                _, first = np.unique(at[hit], return_index=True)
-                totals.append(float(w[hit[first]].sum(dtype=np.float64)) + bias)
-            else:
-                totals.append(bias)
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(totals, float), -35, 35))), dtype=float)
-
-    import pandas as pd
+        for batch in pieces(batches):
+            totals = [total(features, dense, bias, t or "") for t in batch.column(at_text).to_pylist()]
+            score = 1.0 / (1.0 + np.exp(-np.clip(np.array(totals, float), -35, 35)))
+            rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=out.names)
+            yield rows if below is None else rows.filter(pa.array(score < below))
+        release_memory()
 
-    score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(score, T.DoubleType())
+    return docs.mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -175,13 +181,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     table gives none; other columns are not read.
     """
     model = train(docs, labels.filter(~held_out(id_col)), settings, id_col, text_col)
-    score = score_column(docs.sparkSession, model, settings)
-    scored = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), score(F.col(text_col)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= settings.threshold).cast("int"))
+    own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return scored(own, model, settings, "text", "score").select("doc_id", "held_out", "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose score stays below the threshold."""
+    """The rows of docs, all columns, whose score stays below the threshold. Columns may have any names."""
     model = train(docs, labels.filter(~held_out()), settings)
-    score = score_column(docs.sparkSession, model, settings)
-    return docs.filter(score(F.col("text")) < (settings.threshold if threshold is None else threshold))
+    name = free_names(docs, "score")[0]
+    return scored(docs, model, settings, "text", name, settings.threshold if threshold is None else threshold).drop(name)
