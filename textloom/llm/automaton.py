@@ -26,7 +26,7 @@ from array import array
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries kept in a worker's memo of encoded chunks, and of arcs.
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
