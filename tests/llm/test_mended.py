@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, common, jaccard, mixing, queries, sharding, toxicity
+from textloom.llm import bpe, common, jaccard, mixing, queries, sharding, token_counts, toxicity
 
 #: Two words whose CRC-32 is equal from any start value.
 ALIKE = ("ppjhntuqn", "sjzbybvos")
@@ -216,3 +216,15 @@ def test_contract_columns(spark):
     assert types["op8_fingerprints"].items() >= {"n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}.items()
     assert types["op9_toxicity"].items() >= {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}.items()
     assert types["op10_media"].items() >= {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}.items()
+
+
+def test_a_text_of_many_rows_gets_its_count(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "HEAVY", 10)
+    path = queries.tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(i, "copied text") for i in range(40)] + [(i, None) for i in range(40, 60)] + [(99, "rare one"), (None, "x")]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, limit=2)
+    want = Counter((i, len((t or "").encode()), n := len(library.encode(t or "")), n > 2) for i, t in rows)
+    assert Counter(map(tuple, got.collect())) == want

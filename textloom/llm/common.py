@@ -34,17 +34,23 @@ BROADCAST_ROWS = 400_000
 ARROW_ROWS = 2_000
 
 
-@contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Inside, the session sends ARROW_ROWS at most to a Python worker at a time; afterwards as many as before."""
+def shorten_batches(spark: SparkSession) -> str:
+    """From now on the session sends ARROW_ROWS at most to a Python worker at a time; returns what was set."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     if not 0 < int(before) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    return before
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, the session sends ARROW_ROWS at most to a Python worker at a time; afterwards as many as before."""
+    before = shorten_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -332,14 +332,18 @@ def with_perplexity(docs: DataFrame, model: Model, name: str = "perplexity", tex
         worker_state("kneser-ney")
         first, names = TaskContext.get().partitionId() << 32, ["block", "chunk", "shard", "cells"]
         for k, (rows, texts) in enumerate(cut_blocks(batches, text_at)):
-            table, symbols = alphabet(texts)
-            cells = cells_of(distinct(texts, table)[0], symbols)
-            parts = [(s, packed_cells(cells[at])) for s, at in by_shard(cells, shards)]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(pa.Table.from_batches(rows).combine_chunks())
-            del rows, texts, cells
-            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=names)
+            rows.clear()  # the texts alone are needed from here on
+            chunk = sink.getvalue()
+            chunk = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, chunk.size], np.int32)), chunk])
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), chunk, pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=names)
+            del sink, chunk
+            table, symbols = alphabet(texts)
+            cells = cells_of(distinct(texts, table)[0], symbols)
+            texts.clear()
+            parts = [(s, packed_cells(cells[at])) for s, at in by_shard(cells, shards)]
             yield pa.RecordBatch.from_arrays([pa.array([first + k] * len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
         release_memory()
 
@@ -386,7 +390,7 @@ def with_perplexity(docs: DataFrame, model: Model, name: str = "perplexity", tex
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         worker_state("kneser-ney")
-        own = pa.ipc.open_stream(rows.column("chunk")[0].as_py()).read_all()
+        own = pa.ipc.open_stream(rows.column("chunk")[0].as_buffer()).read_all()
         texts = [t or "" for t in own.column(text_at).to_pylist()]
         sums, n = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
         if n.any():

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import Scratch, text_or_empty, worker_state
+from textloom.llm.common import BROADCAST_ROWS, Scratch, maybe_broadcast, release_memory, short_batches, text_or_empty, worker_state
 
 #: Segments whose counts a worker remembers.
 MEMO_ENTRIES = 1 << 19
 
+#: Rows of one text from which its count is sent to them, not they to it.
+HEAVY = 500
+
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
@@ -139,9 +142,19 @@ def count_tokens(
     distinct = texts.mapInArrow(fresh, texts.schema)
     if not known.isEmpty():
         distinct = distinct.join(known.select("digest"), "digest", "left_anti").select("text", "digest")
-    distinct.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    with short_batches(spark):
+        distinct.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
     counts = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # one row each, should two runs have appended the same
     rows = with_digest(own).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Digests that many rows hold, at most one for each HEAVY rows, are broadcast; the others meet their rows by a shuffle.
+    found = Scratch(spark, "token-heavy")
+    heavy = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= HEAVY).select("digest")
+    heavy = found.put(counts.join(heavy, "digest"), "heavy")
+    columns = ["doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")]
+    if heavy.isEmpty():
+        return rows.join(counts, "digest").select(*columns)
+    near = maybe_broadcast(heavy, BROADCAST_ROWS)
+    light = rows.join(near.select("digest"), "digest", "left_anti").join(counts, "digest")
+    return light.select(*columns).unionByName(rows.join(near, "digest").select(*columns))
