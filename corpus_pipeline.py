@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each one's Parquet is the next one's documents.
 
 The first four return the columns they are given, the last the token ids.
-Nulls, empty texts, repeated rows, empty tables and extra columns are treated as
+As a stage's result runs after the stage has returned, the stages leave the session's Arrow batches
+short (2,000 rows); ``run`` sets them back.  Nulls, empty texts, repeated rows, empty tables and extra columns are treated as
 the operators' docstrings say; extra columns pass through all stages but the last.
 """
 
@@ -10,19 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, jaccard, mixing, quality, toxicity
-from textloom.llm.common import Scratch, table
+from textloom.llm.common import Scratch, short_batches, shorten_batches, table
 from textloom.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shorten_batches(spark)
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shorten_batches(spark)
     return quality.reject_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shorten_batches(spark)
     return jaccard.keep_one_per_component(docs, width=5, threshold=0.8)
 
 
@@ -31,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shorten_batches(spark)
     return bpe.encode_documents(docs, tokenizer("byte_bpe_50k.json"), keep=["doc_id", "source"], ids=True)
 
 
@@ -42,7 +47,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: Learned scores and seeded rounding are beyond SQL; tests hold the stages against brute force.
+#: Learned scores and seeded rounding are beyond SQL; tests/llm hold the stages' operators against brute force.
 ORACLE_SQL = None
 
 
@@ -50,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table documents; each is written to the shared folder and reread."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage{i}")
+    with short_batches(spark):
+        for i, (_, stage) in enumerate(STAGES):
+            docs = scratch.put(stage(spark, docs, sf_dir), f"stage{i}")
     return docs
