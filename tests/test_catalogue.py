@@ -1,6 +1,7 @@
 import pytest
 from oracle import spark_rows, sql_rows
 
+import textloom.plans  # noqa: F401
 from textloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"

@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Queries with their SQL; importing the package registers them all."""
+
+from textloom.plans import catalogue, measures, readers, spaces, texts  # noqa: F401

@@ -140,7 +140,11 @@ def vocab_prune(t):
 
 @query("with " + WORDS + "x as (select 1) select term, n, row_number() over (order by n desc, term) + 1 as id from vocab where n >= 20")
 def vocab_index(t):
-    return _vocabulary(t).filter("n >= 20").withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) + 1).cast("long"))
+    """Places among words of one count, after those of larger counts; the window over counts has a row for each distinct count."""
+    counts = _vocabulary(t).filter("n >= 20")
+    before = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = counts.join(before, "n").withColumn("id", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("term")) + 1)
+    return ranked.select("term", "n", F.col("id").cast("long").alias("id"))
 
 
 @query("with " + WORDS + "x as (select 1) select term, n, round((sqrt(n / (0.0001 * s)) + 1) * (0.0001 * s) / n, 6) as keep from vocab, (select sum(n)::double as s from vocab)")
@@ -150,7 +154,7 @@ def subsample_prob(t):
     return v.crossJoin(F.broadcast(v.agg(F.sum("n").cast("double").alias("s")))).select("term", "n", F.round((F.sqrt(F.col("n") / total) + 1) * total / F.col("n"), 6).alias("keep"))
 
 
-@query("with " + WORDS + "x as (select 1) select term, round(pow(n, 0.75) / s, 9) as p from vocab, (select sum(pow(n, 0.75)) as s from vocab)")
+@query("with " + WORDS.replace("vocab as (", "vocab as materialized (") + "x as materialized (select sum(pow(n, 0.75)) as s from vocab) select term, round(pow(n, 0.75) / s, 9) as p from vocab, x")
 def unigram_pow75(t):
     v = _vocabulary(t).withColumn("w", F.pow("n", F.lit(0.75)))
     return v.crossJoin(F.broadcast(v.agg(F.sum("w").alias("s")))).select("term", F.round(F.col("w") / F.col("s"), 9).alias("p"))
@@ -357,11 +361,6 @@ def first_sentence(t):
 # Vectors
 
 
-@query("select vec_id, round(list_sum(list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-6))), 6) as total from (select vec_id, embedding::double[] as v from embeddings)")
-def l2_normalize(t):
-    return _vectors(t).select("vec_id", F.round(F.aggregate(vec.normalised(F.col("v")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
-
 @query("select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v), 6) as s from (select vec_id, vec_id // 10 as d, embedding::double[] as v from embeddings) a join (select vec_id, vec_id // 10 as d, embedding::double[] as v from embeddings) b on a.d = b.d and a.vec_id < b.vec_id")
 def inner_pairs(t):
     v = _vectors(t).withColumn("d", F.expr("vec_id div 10"))
@@ -374,13 +373,6 @@ def mean_vectors(t):
     return _vectors(t).select("label", F.posexplode("v").alias("p", "x")).groupBy("label", F.col("p").cast("long").alias("k")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
-@query("with q as (select embedding::double[] as v from embeddings where vec_id = 0) select vec_id, round(list_dot_product(e.embedding::double[], q.v), 6) as s from embeddings e, q order by round(list_dot_product(e.embedding::double[], q.v), 9) desc, vec_id limit 20")
-def knn_topk(t):
-    q = _vectors(t).filter("vec_id = 0").select(F.col("v").alias("q"))
-    scored = _vectors(t).crossJoin(F.broadcast(q)).withColumn("d", vec.dot(F.col("v"), F.col("q")))  # one query vector
-    return scored.orderBy(F.round("d", 9).desc(), "vec_id").limit(20).select("vec_id", F.round("d", 6).alias("s"))
-
-
 # Graphs
 
 
@@ -410,32 +402,6 @@ def transition_first(t):
 # ROUGE and metrics
 
 
-def _rouge_rows(t) -> tuple[DataFrame, DataFrame]:
-    c = t("conversations").withColumn("tokens", tx.tokens(F.col("text")))
-    return c.filter("turn = 0").select("conv_id", "tokens"), c.filter("turn = 1").select("conv_id", "tokens")
-
-
-def _rouge_sql(grams: str) -> str:
-    return f"""with c as (select conv_id, turn, list_filter(string_split(regexp_replace(regexp_replace(lower(text), '<br />', ' ', 'g'), '[[:punct:]\\s]+', ' ', 'g'), ' '), lambda x: x <> '') as tokens from conversations),
-    g as (select conv_id, turn, gram, count(*) as n from (select conv_id, turn, unnest({grams}) as gram from c) group by all),
-    tp as (select conv_id, sum(n) as tp from g where turn = 0 group by all), tm as (select conv_id, sum(n) as tm from g where turn = 1 group by all),
-    h as (select a.conv_id, sum(least(a.n, b.n)) as hit from g a join g b on a.conv_id = b.conv_id and a.gram = b.gram and a.turn = 0 and b.turn = 1 group by all),
-    s as (select conv_id, coalesce(hit, 0) / tm as r, coalesce(hit, 0) / tp as p from tp join tm using (conv_id) left join h using (conv_id))
-    select conv_id, round(r, 5) as recall, round(p, 5) as precision, round(case when r + p > 0 then 2 * r * p / (r + p) else 0 end, 5) as f1 from s"""
-
-
-@query(_rouge_sql("tokens"))
-def rouge_1(t):
-    p, m = _rouge_rows(t)
-    return corpus.rouge(corpus.gram_counts(p, "conv_id", 1), corpus.gram_counts(m, "conv_id", 1), "conv_id")
-
-
-@query(_rouge_sql("list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])"))
-def rouge_2(t):
-    p, m = _rouge_rows(t)
-    return corpus.rouge(corpus.gram_counts(p, "conv_id", 2), corpus.gram_counts(m, "conv_id", 2), "conv_id")
-
-
 def _predictions(t) -> DataFrame:
     """True and predicted class of labelled documents: quality against a length rule."""
     return t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("y"), (F.col("n_chars") > 1000).cast("int").alias("p"))
@@ -509,23 +475,6 @@ def v_measure(t):
 
 
 EDGES = "e as (select conv_id as g, lag(turn) over w as a, turn as b from conversations window w as (partition by conv_id order by turn)), u as (select g, a, b from e where a is not null union all select g, b, a from e where a is not null)"
-ROUNDS = 3
-
-
-def _retrofit_sql() -> str:
-    steps = [f"v0 as (select conv_id as g, turn as a, length(text)::double as s, length(text)::double as v from conversations where text is not null), n as (select u.* from u join v0 x on x.g = u.g and x.a = u.a join v0 y on y.g = u.g and y.a = u.b)"]
-    for k in range(1, ROUNDS + 1):
-        steps.append(f"v{k} as (select x.g, x.a, any_value(x.s) as s, coalesce((count(y.v) * any_value(x.s) + sum(y.v)) / (2 * count(y.v)), any_value(x.s)) as v from v{k - 1} x left join n on n.g = x.g and n.a = x.a left join v{k - 1} y on y.g = n.g and y.a = n.b group by x.g, x.a)")
-    return f"with {EDGES}, " + ", ".join(steps) + f" select g, a, round(v, 6) as v from v{ROUNDS}"
-
-
-@query(_retrofit_sql())
-def retrofit_sequential(t):
-    turns = t("conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    edges = turns.select(F.col("conv_id").alias("g"), F.lag("turn").over(w).alias("a"), F.col("turn").alias("b")).filter("a is not null")
-    values = turns.filter("text is not null").select(F.col("conv_id").alias("g"), F.col("turn").alias("a"), F.array(F.length("text").cast("double")).alias("s"))
-    return corpus.retrofit(values, edges, ROUNDS).select("g", "a", F.round(F.col("v")[0], 6).alias("v"))
 
 
 @query(f"""with {EDGES}, d as (select distinct g, a, b from u),
