@@ -75,9 +75,9 @@ def random_walks(edges: DataFrame, per_node: int = 10, length: int = 6, p: float
 
     A step weighs an edge's weight over p to go back, as it is to stay beside the node before, over q
     to move on.  Walks end early where no edge leads on.  Every step is a join of the walks' ends with the
-    edges, drawn by a hash of walk and step; ``keep`` may write what a step gives.
+    edges, drawn by a hash of walk and step; ``keep`` may write what a step gives, and so cut its lineage.
     """
-    both = undirected(edges).select("a", "b", "weight")
+    both = undirected(edges).select("a", "b", "weight").persist()
     near = both.select(F.col("a").alias("before"), F.col("b").alias("next"), F.lit(True).alias("near"))
     steps = both.select(F.col("a").alias("now"), F.col("b").alias("next"), F.col("weight").alias("w"))
     walks = both.select(F.col("a").alias("start")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))

@@ -26,7 +26,8 @@ def pair_features(a: Column, b: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, count: int, *more: str) -> DataFrame:
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).select("block", "id", "v", *more)
+    # New columns, so that a table may meet itself.
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block"), *[F.col(c).alias(f"{c}_") for c in ("id", "v", *more)]).toDF("block", "id", "v", *more)
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "dot", doc: bool = False, intra: float = -np.inf, inter: float = -np.inf) -> DataFrame:

@@ -44,25 +44,31 @@ def _chosen(tokens: Column, share: float, key: Column) -> Column:
     return F.transform(F.slice(F.array_sort(places), F.lit(1), F.round(F.size(tokens) * share).cast("int")), lambda p: p["i"])
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once a row."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def masked(tokens: Column, share: float, key: Column, mask: str = "<unk>") -> Column:
-    return F.transform(tokens, lambda x, i: F.when(F.array_contains(_chosen(tokens, share, key), i), F.lit(mask)).otherwise(x))
+    return _with(_chosen(tokens, share, key), lambda c: F.transform(tokens, lambda x, i: F.when(F.array_contains(c, i), F.lit(mask)).otherwise(x)))
 
 
 def removed(tokens: Column, share: float, key: Column) -> Column:
-    return F.filter(tokens, lambda x, i: ~F.array_contains(_chosen(tokens, share, key), i))
+    return _with(_chosen(tokens, share, key), lambda c: F.filter(tokens, lambda x, i: ~F.array_contains(c, i)))
 
 
 def swapped(tokens: Column, share: float, key: Column) -> Column:
-    """Neighbours exchanged at chosen even places, so that no token moves twice."""
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(tokens) / 2).cast("int") - 1, F.lit(0))), lambda i: i * 2)
-    chosen = _chosen(pairs, share, key)
+    """Neighbours exchanged in the chosen of the pairs (first and second, third and fourth, ...), so that no token moves twice."""
+    pairs = F.slice(tokens, F.lit(1), F.floor(F.size(tokens) / 2).cast("int"))  # one entry a pair
+
+    def moved(chosen: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            inside = F.array_contains(chosen, F.floor(i / 2).cast("int"))
+            return F.when(inside, F.get(tokens, F.when(i % 2 == 0, i + 1).otherwise(i - 1))).otherwise(x)
 
-    def at(x: Column, i: Column) -> Column:
-        first = (i - i % 2).cast("int")
-        whole = first + 1 < F.size(tokens)
-        return F.when(whole & F.array_contains(F.transform(chosen, lambda c: c * 2), first), F.get(tokens, F.when(i % 2 == 0, i + 1).otherwise(i - 1))).otherwise(x)
+        return F.transform(tokens, at)
 
-    return F.transform(tokens, at)
+    return _with(_chosen(pairs, share, key), moved)
 
 
 def huffman_codes(vocabulary: DataFrame) -> DataFrame:

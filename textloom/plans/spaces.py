@@ -32,42 +32,42 @@ def _word_vectors(t) -> DataFrame:
     return ranked.join(_vectors(t), "id").select("term", "v")
 
 
-@query("with " + V + "x as (select id, generate_subscripts(v, 1)::int - 1 as k, unnest(list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-6))) as x from vecs) select id, k, round(x, 6) as x from x")
+@query("with " + V + "x as (select id, generate_subscripts(v, 1)::int - 1 as k, unnest(list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-6))) as x from vecs) select id, k, round(x, 6) + 0 as x from x")
 def l2_normalize(t):
     return _cells(_vectors(t).select("id", vec.normalised(F.col("v")).alias("v")), "id")
 
 
-@query("with " + V + "x as (select 1) select q.id as query, e.id, round(greatest(0, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v))), 6) as s from vecs q join vecs e on q.doc = e.doc")
+@query("with " + V + "x as (select 1) select q.id as query, e.id, round(greatest(0, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v))), 6) + 0 as s from vecs q join vecs e on q.doc = e.doc")
 def cosine_clipped(t):
     q = _vectors(t).select("doc", F.col("id").alias("query"), F.col("v").alias("q"))
     return q.join(_vectors(t), "doc").select("query", "id", F.round(spaces.clipped_cosine(F.col("q"), F.col("v")), 6).alias("s"))
 
 
-@query("with " + V + "x as (select a.id, list_concat(a.v, b.v) as v from vecs a join vecs b on b.id = a.id + 1) select id, generate_subscripts(v, 1)::int - 1 as k, round(unnest(v), 6) as x from x")
+@query("with " + V + "x as (select a.id, list_concat(a.v, b.v) as v from vecs a join vecs b on b.id = a.id + 1) select id, generate_subscripts(v, 1)::int - 1 as k, round(unnest(v), 6) + 0 as x from x")
 def concat_vectors(t):
     following = _vectors(t).select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
     return _cells(_vectors(t).join(following, "id").select("id", F.concat("v", "w").alias("v")), "id")
 
 
-@query("with " + V + "x as (select a.id, list_concat(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])), list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) as v from vecs a join vecs b on b.id = a.id + 1) select id, generate_subscripts(v, 1)::int - 1 as k, round(unnest(v), 6) as x from x")
+@query("with " + V + "c as (select id, generate_subscripts(v, 1)::int - 1 as k, unnest(v) as x from vecs) select a.id, a.k, round(abs(a.x - b.x), 6) + 0 as x from c a join c b on b.id = a.id + 1 and a.k = b.k union all select a.id, a.k + 64, round(a.x * b.x, 6) from c a join c b on b.id = a.id + 1 and a.k = b.k")
 def pair_features(t):
     following = _vectors(t).select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
     return _cells(_vectors(t).join(following, "id").select("id", spaces.pair_features(F.col("v"), F.col("w")).alias("v")), "id")
 
 
-@query("with " + TURNS + V + WORD_VECTORS + CELLS + "x as (select 1) select doc_id, pos, k, round(avg(x), 6) as x from cells group by all")
+@query("with " + TURNS + V + WORD_VECTORS + CELLS + "x as (select 1) select doc_id, pos, k, round(avg(x), 6) + 0 as x from cells group by all")
 def sentence_mean_vectors(t):
     return spaces.sentence_vectors(_turns(t), _word_vectors(t), ["doc_id", "pos"]).select("doc_id", "pos", "k", F.round("x", 6).alias("x"))
 
 
-@query("with " + TURNS + V + WORD_VECTORS + CELLS + "x as (select 1) select doc_id, pos, k, round(sum(x), 6) as x from cells group by all")
+@query("with " + TURNS + V + WORD_VECTORS + CELLS + "x as (select 1) select doc_id, pos, k, round(sum(x), 6) + 0 as x from cells group by all")
 def sentence_sum_vectors(t):
     return spaces.sentence_vectors(_turns(t), _word_vectors(t), ["doc_id", "pos"], "sum").select("doc_id", "pos", "k", F.round("x", 6).alias("x"))
 
 
 @query("with " + TURNS + V + WORD_VECTORS + CELLS + """m as (select doc_id, pos, k, avg(x) as x from cells group by all), n as (select doc_id, pos, sqrt(sum(x * x)) as n from m group by all),
 d as (select a.doc_id, a.pos, sum(a.x * b.x) as d from m a join m b on a.doc_id = b.doc_id and b.pos = a.pos + 1 and a.k = b.k group by all)
-select d.doc_id, d.pos, round(d / (a.n * b.n), 6) as s from d join n a on a.doc_id = d.doc_id and a.pos = d.pos join n b on b.doc_id = d.doc_id and b.pos = d.pos + 1""")
+select d.doc_id, d.pos, round(d / (a.n * b.n), 6) + 0 as s from d join n a on a.doc_id = d.doc_id and a.pos = d.pos join n b on b.doc_id = d.doc_id and b.pos = d.pos + 1""")
 def sentence_similarity(t):
     own = spaces.gathered(spaces.sentence_vectors(_turns(t), _word_vectors(t), ["doc_id", "pos"]), ["doc_id", "pos"])
     following = own.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("v").alias("w"))
@@ -76,7 +76,7 @@ def sentence_similarity(t):
 
 
 def _knn_sql(score: str, order: str) -> str:
-    return "with " + V + f"x as (select q.id as query, e.id, {score} as s from vecs q, vecs e where q.id % 20 = 0) select query, id, round(s, 6) as s from x qualify row_number() over (partition by query order by round(s, 9) {order}, id) <= 10"
+    return "with " + V + f"x as (select q.id as query, e.id, {score} as s from vecs q, vecs e where q.id % 20 = 0) select query, id, round(s, 6) + 0 as s from x qualify row_number() over (partition by query order by round(s, 9) {order}, id) <= 10"
 
 
 @query(_knn_sql("list_dot_product(q.v, e.v)", "desc"))
@@ -100,7 +100,7 @@ def _graph(t) -> DataFrame:
     return graphs.context_graph(_vectors(t), k=20, intra=0.2, inter=0.3)
 
 
-@query("with " + GRAPH + "x as (select 1) select a, b, round(weight, 6) as weight from graph")
+@query("with " + GRAPH + "x as (select 1) select a, b, round(weight, 6) + 0 as weight from graph")
 def context_knn_graph(t):
     return _graph(t).select("a", "b", F.round("weight", 6).alias("weight"))
 
@@ -121,7 +121,7 @@ def padded_adjacency(t):
     return graphs.padded_adjacency(both, ["conv_id"]).select("conv_id", "node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), " ").alias("neighbours"))
 
 
-@query("with " + V + "x as (select a.doc, a.id as a, b.id as b, list_dot_product(a.v, b.v) as w from vecs a join vecs b on a.doc = b.doc) select doc, a, b, round(w, 6) as weight from x where round(w, 9) >= 0.1")
+@query("with " + V + "x as (select a.doc, a.id as a, b.id as b, list_dot_product(a.v, b.v) as w from vecs a join vecs b on a.doc = b.doc) select doc, a, b, round(w, 6) + 0 as weight from x where round(w, 9) >= 0.1")
 def latent_doc_graph(t):
     return graphs.document_graph(_vectors(t), 0.1).select("doc", "a", "b", F.round("weight", 6).alias("weight"))
 
@@ -149,7 +149,7 @@ def _retrofit_sql(rounds: int, alpha: float, weight: str) -> str:
             f"g{r} as (select u.id, x.k, sum(u.w * x.v) as got from u join v{r - 1} x on x.id = u.o group by all),"
             f"v{r} as materialized (select x.id, x.k, x.s, case when n.n is null then x.s else ({alpha} * n.n * x.s + got) / ({alpha} * n.n + n.n) end as v from v{r - 1} x left join n on n.id = x.id left join g{r} g on g.id = x.id and g.k = x.k)"
         )
-    return "with " + V + ", ".join(steps) + f" select id, (k - 1)::int as k, round(v, 6) as x from v{rounds}"
+    return "with " + V + ", ".join(steps) + f" select id, (k - 1)::int as k, round(v, 6) + 0 as x from v{rounds}"
 
 
 def _chain(t, weight: str = "1.0D") -> DataFrame:
@@ -173,7 +173,7 @@ def retrofit_weighted(t):
 
 @query()
 def random_walks(t):
-    return graphs.random_walks(_graph(t), per_node=2, length=4).select("start", "walk", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
+    return graphs.random_walks(_graph(t).persist(), per_node=2, length=4).select("start", "walk", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
 @query()

@@ -28,17 +28,17 @@ def cleaned_sentences(t):
     return t("documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", tx.cleaned(F.col("s")).alias("sentence"))
 
 
-@query("with " + TURNS + VOCAB + "w as (select doc_id, pos, generate_subscripts(tokens, 1) as place, unnest(tokens) as term from turns), e as (select doc_id, pos, string_agg(coalesce(id, 1), ' ' order by place) as ids from w left join ids using (term) group by all) select doc_id, pos, coalesce(ids, '') as ids from turns left join e using (doc_id, pos)")
+@query("with " + TURNS + VOCAB + "ww as (select doc_id, pos, generate_subscripts(tokens, 1) as place, unnest(tokens) as term from turns), e as (select doc_id, pos, string_agg(coalesce(id, 1), ' ' order by place) as ids from ww left join ids using (term) group by all) select doc_id, pos, coalesce(ids, '') as ids from turns left join e using (doc_id, pos)")
 def encode_unknown(t):
     return tokens.encoded(_turns(t), _ids(t), ["doc_id", "pos"]).select("doc_id", "pos", _joined("ids"))
 
 
-@query("with " + TURNS + VOCAB + "w as (select doc_id, pos, generate_subscripts(tokens, 1) as place, unnest(tokens) as term from turns), e as (select doc_id, pos, string_agg(id, ' ' order by place) as ids from w join ids using (term) group by all) select doc_id, pos, coalesce(ids, '') as ids from turns left join e using (doc_id, pos)")
+@query("with " + TURNS + VOCAB + "ww as (select doc_id, pos, generate_subscripts(tokens, 1) as place, unnest(tokens) as term from turns), e as (select doc_id, pos, string_agg(id, ' ' order by place) as ids from ww join ids using (term) group by all) select doc_id, pos, coalesce(ids, '') as ids from turns left join e using (doc_id, pos)")
 def encode_known(t):
     return tokens.encoded(_turns(t), _ids(t), ["doc_id", "pos"], None).select("doc_id", "pos", _joined("ids"))
 
 
-@query("with " + TURNS + "w as (select unnest(tokens) as term from turns) select term, count(*) as n from w where regexp_full_match(term, '\\p{L}+') group by term")
+@query("with " + TURNS + "ww as (select unnest(tokens) as term from turns) select term, count(*) as n from ww where regexp_full_match(term, '\\p{L}+') group by term")
 def alpha_vocabulary(t):
     return _turns(t).select(F.explode("tokens").alias("term")).filter(F.col("term").rlike(r"^\p{L}+$")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 

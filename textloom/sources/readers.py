@@ -104,7 +104,10 @@ def parse_newswire(files: DataFrame, interesting: tuple[str, ...] = WIRE_TOPICS,
     def listed(group: str) -> Column:
         return F.transform(F.regexp_extract_all(F.coalesce(_inside(F.col("e"), group), F.lit("")), F.lit(r"(?is)<D>(.*?)</D>"), 1), lambda x: F.trim(x))
 
-    tags = F.concat(*[F.transform(listed(g), lambda x, g=g: F.struct(F.lit(g).alias("category"), x.alias("name"))) for g in WIRE_GROUPS])
+    def tagged(group: str) -> Column:
+        return F.transform(listed(group), lambda x: F.struct(F.lit(group).alias("category"), x.alias("name")))
+
+    tags = F.concat(*[tagged(g) for g in WIRE_GROUPS])
     first = F.coalesce(F.get(F.filter(listed("topics"), lambda x: x.isin(*interesting)), F.lit(0)), F.lit("other"))
     metadata = F.concat(F.lit("OLDID:"), "oldid", F.lit("^TOPICS:"), "topics", F.lit("^CGISPLIT:"), "cgisplit", F.lit("^LEWISSPLIT:"), "lewissplit")
     found = rows.select(
