@@ -49,7 +49,7 @@ def concat_vectors(t):
     return _cells(_vectors(t).join(following, "id").select("id", F.concat("v", "w").alias("v")), "id")
 
 
-@query("with " + V + "c as (select id, generate_subscripts(v, 1)::int - 1 as k, unnest(v) as x from vecs) select a.id, a.k, round(abs(a.x - b.x), 6) + 0 as x from c a join c b on b.id = a.id + 1 and a.k = b.k union all select a.id, a.k + 64, round(a.x * b.x, 6) from c a join c b on b.id = a.id + 1 and a.k = b.k")
+@query("with " + V + "c as (select id, generate_subscripts(v, 1)::int - 1 as k, unnest(v) as x from vecs) select a.id, a.k, round(abs(a.x - b.x), 6) + 0 as x from c a join c b on b.id = a.id + 1 and a.k = b.k union all select a.id, a.k + 64, round(a.x * b.x, 6) + 0 from c a join c b on b.id = a.id + 1 and a.k = b.k")
 def pair_features(t):
     following = _vectors(t).select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
     return _cells(_vectors(t).join(following, "id").select("id", spaces.pair_features(F.col("v"), F.col("w")).alias("v")), "id")
