@@ -28,7 +28,7 @@ WIRE_GROUPS = ("topics", "places", "people", "orgs", "exchanges", "companies")
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """``path, value`` of all files below a folder; bytes that are not UTF-8 are left out, and so is all under hidden folders."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("value"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("value"))
     return files.filter(~hidden(F.col("path")))
 
 
