@@ -30,27 +30,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 400_000
 
 
-#: Rows of an Arrow batch that holds whole texts, where an operator writes its tables itself.
-ARROW_ROWS = 2_000
+#: Bounds of an Arrow batch that holds whole texts, where an operator writes its tables itself:
+#: rows, and bytes beyond which no further row is added.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
+#: Bytes of input after which a worker hands freed memory back.
+TRIM_BYTES = 8 << 20
 
-def shorten_batches(spark: SparkSession) -> str:
-    """From now on the session sends ARROW_ROWS at most to a Python worker at a time; returns what was set."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+
+def shorten_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on the session keeps the batches it sends to a Python worker within ARROW_BOUNDS; returns what was set."""
+    before = {key: spark.conf.get(key) for key in ARROW_BOUNDS}
+    for key, most in ARROW_BOUNDS.items():
+        if not (before[key].isdecimal() and 0 < int(before[key]) <= most):
+            spark.conf.set(key, str(most))
     return before
 
 
 @contextmanager
 def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Inside, the session sends ARROW_ROWS at most to a Python worker at a time; afterwards as many as before."""
+    """Inside, the session keeps the batches it sends to a Python worker within ARROW_BOUNDS; afterwards as before."""
     before = shorten_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,15 +129,28 @@ def worker_state(name: str) -> dict:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut into short ones, so that only a few texts are Python objects at a time."""
+    """The batches cut into short ones, so that only a few texts are Python objects at a time.
+
+    Freed memory goes back to the system on the way, or a worker would keep the most it ever held.
+    """
+    passed = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        passed += batch.nbytes
+        if passed >= TRIM_BYTES:
+            del batch
+            _trim()
+            passed = 0
 
 
 def release_memory() -> None:
     """Hands freed memory back to the system, as far as its C library can."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

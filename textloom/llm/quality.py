@@ -37,12 +37,14 @@ QUANTILE = 0.995
 HELD_OUT = 5
 #: Characters whose n-grams are in memory at a time.
 STRETCH = 1 << 18
+#: Distinct n-grams of stretches that wait before they are merged with those of the block.
+WAITING = 1 << 19
 #: Characters of text in a block of documents that is scored together.
 BLOCK_CHARS = 16 << 20
 #: Bytes of text for each shard of the n-grams, beyond one shard a shuffle partition.
 SHARD_BYTES = 1 << 32
 #: n-grams of a shard that wait before they are merged.
-MERGE = 2 << 20
+MERGE = 1 << 20
 
 
 def class_of(code: int) -> int:
@@ -113,11 +115,12 @@ def distinct(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
         every, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return every, np.bincount(at.ravel(), weights=np.concatenate([p[1] for p in parts]), minlength=len(every)).astype(np.int64)
 
-    parts: list = []
+    parts, held = [], 0
     for group in stretches(texts):
         parts.append(np.unique(grams_of(texts, group, table)[0], return_counts=True))
-        if len(parts) == 16:
-            parts = [merged(parts)]
+        held += len(parts[-1][0])
+        if held > WAITING:
+            parts, held = [merged(parts)], 0
     return merged(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
