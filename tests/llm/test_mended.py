@@ -144,12 +144,14 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_session_settings_stay(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    before = {key: spark.conf.get(key) for key in common.ARROW_BOUNDS}
     docs = spark.createDataFrame([(1, "a b c d"), (2, "bad words")], "doc_id long, text string")
     toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
     jaccard.similar_components(docs).count()
-    assert spark.conf.get(key) == before
+    assert {key: spark.conf.get(key) for key in before} == before
+    with common.short_batches(spark):
+        assert {key: int(spark.conf.get(key)) for key in before} == common.ARROW_BOUNDS
+    assert {key: spark.conf.get(key) for key in before} == before
 
 
 def test_toxicity_learns_once_from_a_repeated_id(spark):
