@@ -2,7 +2,7 @@
 
 The first four return the columns they are given, the last the token ids.
 As a stage's result runs after the stage has returned, the stages leave the session's Arrow batches
-short (2,000 rows); ``run`` sets them back.  Nulls, empty texts, repeated rows, empty tables and extra columns are treated as
+short (2,000 rows, 2 MB); ``run`` sets them back.  Nulls, empty texts, repeated rows, empty tables and extra columns are treated as
 the operators' docstrings say; extra columns pass through all stages but the last.
 """
 
