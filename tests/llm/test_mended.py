@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, common, jaccard, mixing, queries, sharding, token_counts, toxicity
+from textloom.llm import bpe, common, jaccard, licenses, mixing, queries, sharding, token_counts, toxicity
 
 #: Two words whose CRC-32 is equal from any start value.
 ALIKE = ("ppjhntuqn", "sjzbybvos")
@@ -230,3 +230,48 @@ def test_a_text_of_many_rows_gets_its_count(spark, monkeypatch):
     got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, limit=2)
     want = Counter((i, len((t or "").encode()), n := len(library.encode(t or "")), n > 2) for i, t in rows)
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_license_blocks_cross_lines_and_siblings_stay_apart(spark):
+    bsd = "Redistribution and use in source and binary forms,\nwith or without\n\n modification, are permitted."
+    gap = " filler" * 40
+    texts = {
+        1: (bsd, "bsd"), 2: (bsd.replace("forms", "forms" + gap), ""), 3: ("x" + gap * 90 + "\n" + bsd + gap * 90, "bsd"),
+        4: ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        5: ("Licensed under the GNU Lesser General\nPublic License", "gpl,lgpl"),
+        6: ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), 7: ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
+        8: (" ".join(w + gap for w in "released under the mit license".split()), ""), 9: ("Released under\nthe MIT License\n" * 3000, "mit"),
+        10: (None, ""), 11: ("\0 \x7f--", ""), 12: ("ALL\0RIGHTS\nreserved ÄÖ", "reserved"),
+    }
+    rows = [(i, t, "clash") for i, (t, _) in texts.items()] + [(1, bsd, "clash"), (None, bsd, "clash"), (None, bsd, None)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.labels) for r in got) == Counter((i, texts[i][1] if i else "bsd") for i, _, _ in rows)
+    assert {r.doc_id: r.n_words for r in got}[12] == 4 and {r.doc_id: r.n_words for r in got}[11] == 0
+
+
+def test_license_blocks_against_every_window(spark):
+    r = random.Random(5)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split(" ")}) + ["other", "words"]
+    rows = []
+    for i in range(150):
+        text = [r.choice(vocabulary) for _ in range(r.randrange(60))]
+        for _, t in r.sample(licenses.TEMPLATES, 2):
+            near = [w if r.random() > 0.1 else "odd" for w in t.split(" ")]
+            at = r.randrange(len(text) + 1)
+            text[at:at] = [x for w in near for x in ([w] if r.random() > 0.3 else [w, "gap"])]
+        rows.append((i, "\n".join(text)))
+
+    def plain(text):
+        tokens, best = text.split("\n"), {}
+        for t, (label, template) in enumerate(licenses.TEMPLATES):
+            wanted, span = set(template.split(" ")), licenses.STRETCH * len(template.split(" "))
+            must = set(licenses.telling(licenses.TEMPLATES, t, licenses.CONTAINMENT))
+            shares = [len(s) / len(wanted) for i in range(len(tokens)) if must <= (s := wanted & set(tokens[i : i + span]))]
+            if max(shares, default=0) >= licenses.CONTAINMENT:
+                best[label] = max(shares)
+        joined = " " + " ".join(tokens) + " "
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in joined}
+        return ",".join(sorted(base | set(best))), 1.0 if base else max(best.values(), default=0.0)
+
+    got = {x.doc_id: (x.labels, round(x.score, 9)) for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (plain(t)[0], round(plain(t)[1], 9)) for i, t in rows}
