@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, fingerprints, jaccard, licenses, media, mixing, quality, sharding, token_counts, toxicity
+from textloom.llm import bpe, fill_middle, fingerprints, jaccard, licenses, media, mixing, quality, sharding, token_counts, toxicity
 from textloom.llm.common import table
 
 
@@ -63,9 +63,17 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle forms of all documents, with digests of the output and of the text rebuilt from it."""
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_bpe, op3_mixing, op4_token_counts, op5_ngram_jaccard, op6_licenses, op7_quality, op8_fingerprints, op9_toxicity, op10_media)
+    for f in (op1_sharding, op2_bpe, op3_mixing, op4_token_counts, op5_ngram_jaccard, op6_licenses, op7_quality, op8_fingerprints, op9_toxicity, op10_media, op11_fill_middle)
 }
 
-ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle(), "op11_fill_middle": fill_middle.ORACLE}
