@@ -105,6 +105,21 @@ class Scratch:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
 
+def bucketed(rows: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
+    """Writes rows to the shared folder as a table bucketed by ``block``, which joins on it without moving the rows."""
+    spark, table = rows.sparkSession, f"textloom_{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "block").option("path", f"{scratch.root}/{name}").format("parquet").saveAsTable(table)
+    atexit.register(_forget, spark, table)
+    return spark.table(table)
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {table}")
+    except Exception:  # the session may already be gone when the process ends
+        pass
+
+
 def _remove(fs: Any, path: Any) -> None:
     try:
         fs.delete(path, True)

@@ -13,8 +13,6 @@ An n-gram is kept as binary, three bytes a symbol, so equality is exact.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import Scratch, free_names, maybe_broadcast, pieces, release_memory, short_batches, text_or_empty, worker_state
+from textloom.llm.common import Scratch, bucketed, free_names, maybe_broadcast, pieces, release_memory, short_batches, text_or_empty, worker_state
 
 ORDER = 5
 #: Bytes of a symbol in an n-gram.
@@ -309,21 +307,6 @@ class Model:
         return every
 
 
-def _bucketed(rows: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
-    """Writes rows to the shared folder as a table bucketed by ``block``, which joins on it without moving the rows."""
-    spark, table = rows.sparkSession, f"textloom_{name}_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "block").option("path", f"{scratch.root}/{name}").format("parquet").saveAsTable(table)
-    atexit.register(_forget, spark, table)
-    return spark.table(table)
-
-
-def _forget(spark: SparkSession, table: str) -> None:
-    try:
-        spark.sql(f"drop table if exists {table}")
-    except Exception:  # the session may already be gone when the process ends
-        pass
-
-
 def with_perplexity(docs: DataFrame, model: Model, name: str = "perplexity", text_col: str = "text") -> DataFrame:
     """docs with a column ``name``: each text's perplexity, null for a text without characters."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "blocks")
@@ -351,7 +334,7 @@ def with_perplexity(docs: DataFrame, model: Model, name: str = "perplexity", tex
         release_memory()
 
     with short_batches(spark):
-        blocks = _bucketed(docs.mapInArrow(gather, "block long, chunk binary, shard int, cells binary"), scratch, "blocks", buckets)
+        blocks = bucketed(docs.mapInArrow(gather, "block long, chunk binary, shard int, cells binary"), scratch, "blocks", buckets)
     wanted = blocks.filter("cells is not null")
     grams = merged_shards(wanted.select("shard", "cells", F.lit(None).cast("binary").alias("counts")), shards)
     logs = model.logs(scratch.put(grams.select("shard", "gram"), "grams"), scratch)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, fill_middle, fingerprints, jaccard, licenses, media, mixing, quality, sharding, simhash, token_counts, toxicity
+from textloom.llm import bpe, divergence, fill_middle, fingerprints, jaccard, licenses, media, mixing, quality, sharding, simhash, token_counts, toxicity
 from textloom.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source of all documents differ from other sources' and from its language's."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those at most three bits apart."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -78,7 +83,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_bpe, op3_mixing, op4_token_counts, op5_ngram_jaccard, op6_licenses, op7_quality, op8_fingerprints, op9_toxicity, op10_media, op11_fill_middle, op13_simhash)
+    for f in (op1_sharding, op2_bpe, op3_mixing, op4_token_counts, op5_ngram_jaccard, op6_licenses, op7_quality, op8_fingerprints, op9_toxicity, op10_media, op11_fill_middle, op12_divergence, op13_simhash)
 }
 
-ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle(), "op11_fill_middle": fill_middle.ORACLE}
+ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle(), "op11_fill_middle": fill_middle.ORACLE, "op12_divergence": divergence.ORACLE}
