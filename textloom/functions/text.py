@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +45,37 @@ def without_footer(text: Column) -> Column:
     return F.when(last > 0, F.array_join(F.slice(lines, F.lit(1), last), "\n")).otherwise(F.trim(text))
 
 
-def html_text(html: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", ""), r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return plain
+def without_entities(text: Column) -> Column:
+    """Named and numeric character references as the characters they stand for."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: x if x is None else html.unescape(x))
+
+    return F.pandas_udf(run, "string")(text)
+
+
+def html_text(page: Column) -> Column:
+    """Text of mark-up: scripts, styles, comments and tags go, character references become characters."""
+    plain = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", ""), r"<[^>]*>", "")
+    return without_entities(plain)
+
+
+def limited(sentences: Column, words: int | None = None, size: int | None = None) -> Column:
+    """Sentences joined by blanks, cut after so many words (parted by white space) or bytes; the joining blanks do not count as bytes.
+
+    The sentence that reaches the limit is cut, and what follows it is left out.
+    """
+    if words is None and size is None:
+        return F.array_join(sentences, " ")
+    most = F.lit(words if words is not None else size)
+    count = (lambda x: F.size(F.split(x, r"\s+"))) if words is not None else F.octet_length
+    cut = (lambda x, n: F.array_join(F.slice(F.split(x, r"\s+"), F.lit(1), n), " ")) if words is not None else (lambda x, n: F.substring(x.cast("binary"), F.lit(1), n).cast("string"))
+
+    def add(state: Column, x: Column) -> Column:
+        fits = state["n"] + count(x) < most
+        piece = F.when(fits, x).otherwise(cut(x, most - state["n"]))
+        joined = F.when(state["n"] > 0, F.concat(state["text"], F.lit(" "), piece)).otherwise(piece)
+        return F.when(state["full"], state).otherwise(F.struct(joined.alias("text"), (state["n"] + count(x)).cast("int").alias("n"), (~fits).alias("full")))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+    return F.aggregate(F.filter(sentences, lambda x: x.isNotNull()), start, add)["text"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
+from textloom.operators.relational import running_total
 
 
 def sentence_table(docs: DataFrame) -> DataFrame:
@@ -133,21 +134,14 @@ def rouge(peers: DataFrame, models: DataFrame, key: str) -> DataFrame:
 
 
 
-
-def average_ranks(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+def average_ranks(rows: DataFrame, column: str) -> DataFrame:
     """``column, rank_<column>``: the average rank of each distinct value; null values have none.
 
-    Values are counted first, then ranked within buckets between approximate quantiles;
-    the buckets' totals (``buckets`` rows) give the offsets, so no task sorts all values.
+    Values are counted first; running totals over ranges of the values give the ranks.
     """
-    rows = rows.filter(F.col(column).isNotNull())
-    splits = rows.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    bucket = sum((F.when(F.col(column) >= x, 1).otherwise(0) for x in sorted(set(splits))), F.lit(0))
-    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy("bucket").agg(F.sum("n").alias("total")).select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    placed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy(column))).join(F.broadcast(offsets), "bucket")
-    return placed.select(column, (F.col("offset") + F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"rank_{column}"))
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(counts, [column], F.col("n"))
+    return placed.select(column, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"rank_{column}"))
 
 
 def v_measure(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
@@ -13,9 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-
-#: Cells of a contingency table that the driver may hold.
-CELLS = 1_000_000
+from textloom.operators.shared import Tables, near
 
 
 def _one_vs_rest(rows: int, strength: float) -> OneVsRest:
@@ -31,8 +32,8 @@ def classify_vectors(train: DataFrame, test: DataFrame, strength: float = 1.0) -
     return model.transform(asked).select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def text_features(words: int = 1 << 16) -> Pipeline:
-    """Unit vectors of TF-IDF weights over the training texts' most frequent words, English stop words left out."""
+def text_features(words: int) -> Pipeline:
+    """Unit vectors of TF-IDF weights over the training texts' ``words`` most frequent words, English stop words left out."""
     return Pipeline(stages=[
         StopWordsRemover(inputCol="tokens", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="counts", vocabSize=words),
         IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"),
@@ -42,7 +43,9 @@ def text_features(words: int = 1 << 16) -> Pipeline:
 def classify_texts(train: DataFrame, test: DataFrame, strength: float = 1.0) -> DataFrame:
     """``id, label, predicted`` of test rows (``id, text, label`` with labels from 0)."""
     own, asked = (d.select("id", tx.tokens(F.coalesce("text", F.lit(""))).alias("tokens"), F.col("label").cast("double").alias("label")) for d in (train, test))
-    features = text_features().fit(own)
+    # All words of the training texts: the model of their counts is a list that the driver holds, as Spark ML does.
+    words = own.select(F.explode("tokens").alias("w")).agg(F.count_distinct("w")).first()[0]
+    features = text_features(max(words, 1)).fit(own)
     model = _one_vs_rest(train.count(), strength).fit(features.transform(own).select("features", "label"))
     found = model.transform(features.transform(asked).select("id", "features", "label"))
     return found.select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
@@ -54,9 +57,19 @@ def majority(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.select("id", "label").crossJoin(F.broadcast(best))  # one row
 
 
+def stratified(train: DataFrame, test: DataFrame, seed: int = 1) -> DataFrame:
+    """``id, label, predicted``: labels drawn for each test row by a hash of its id, in proportion to the training rows that have them."""
+    counts = sorted((r["label"], r["count"]) for r in train.groupBy("label").count().collect())  # the classes
+    total, upto, drawn = sum(n for _, n in counts), 0, F.lit(None)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
+    for label, n in counts:
+        drawn, upto = F.when((u >= upto / total) & (u < (upto + n) / total), F.lit(label)).otherwise(drawn), upto + n
+    return test.select("id", "label", drawn.cast(train.schema["label"].dataType).alias("predicted"))
+
+
 def cluster(vectors: DataFrame, k: int, starts: int = 10, seed: int = 1) -> DataFrame:
     """``id, cluster``: k-means from k-means|| seeds, the best of several starts."""
-    own = vectors.select("id", array_to_vector("v").alias("features")).persist()
+    own = Tables(vectors.sparkSession, "cluster").put(vectors.select("id", array_to_vector("v").alias("features")), "vectors")
     models = [KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=100).fit(own) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(own).select("id", F.col("prediction").alias("cluster"))
@@ -79,28 +92,42 @@ def classification_report(rows: DataFrame) -> DataFrame:
     return every.select("label", *[F.round(c, 4).alias(c) for c in names], "support")
 
 
+def _expected_hits(a: int, b: int, total: int) -> float:
+    """The expected part of the mutual information of a class of a rows and a cluster of b, over all ways to deal total rows."""
+    n = np.arange(max(1, a + b - total), min(a, b) + 1, dtype=float)
+    if not len(n):
+        return 0.0
+    lg = math.lgamma
+    first = lg(a + 1) + lg(b + 1) + lg(total - a + 1) + lg(total - b + 1) - lg(total + 1) - lg(n[0] + 1) - lg(a - n[0] + 1) - lg(b - n[0] + 1) - lg(total - a - b + n[0] + 1)
+    more = np.log(a - n[:-1]) + np.log(b - n[:-1]) - np.log(n[1:]) - np.log(total - a - b + n[1:])
+    chance = np.exp(first + np.concatenate([[0.0], np.cumsum(more)]))
+    return float((n / total * np.log(total * n / (float(a) * b)) * chance).sum())
+
+
 def adjusted_mutual_information(rows: DataFrame) -> float:
-    """Of classes ``y`` against clusters ``p``: mutual information less its expectation under random tables, by the larger entropy less that expectation."""
-    cells = rows.dropna(subset=["y", "p"]).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")).limit(CELLS + 1).collect()
-    if len(cells) > CELLS:
-        raise ValueError("too many classes times clusters")
-    a: dict = {}
-    b: dict = {}
-    for r in cells:
-        a[r["y"]], b[r["p"]] = a.get(r["y"], 0) + r["n"], b.get(r["p"], 0) + r["n"]
-    total = sum(a.values())
-    if not total or len(a) == len(b) == 1:
+    """Of classes ``y`` against clusters ``p``: mutual information less its expectation under random tables, by the larger entropy less that expectation.
+
+    The contingency table stays distributed.  The expectation depends on the sizes of classes and clusters only, so tasks sum it over the pairs of
+    distinct sizes (at most the root of twice the rows on each side), each as often as it occurs.
+    """
+    tables = Tables(rows.sparkSession, "information")
+    cells = tables.put(rows.dropna(subset=["y", "p"]).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")), "cells")
+    ny, np_ = (tables.put(cells.groupBy(c).agg(F.sum("n").alias(name)), c) for c, name in (("y", "a"), ("p", "b")))
+    total = ny.agg(F.sum("a")).first()[0] or 0
+    if not total or ny.count() == 1 and np_.count() == 1:
         return 1.0
-    mutual = sum(r["n"] / total * math.log(total * r["n"] / (a[r["y"]] * b[r["p"]])) for r in cells)
-    fact = lambda x: math.lgamma(x + 1)
-    expected = 0.0
-    for x in a.values():
-        for y in b.values():
-            fixed = fact(x) + fact(y) + fact(total - x) + fact(total - y) - fact(total)
-            for n in range(max(1, x + y - total), min(x, y) + 1):
-                chance = math.exp(fixed - fact(n) - fact(x - n) - fact(y - n) - fact(total - x - y + n))
-                expected += n / total * math.log(total * n / (x * y)) * chance
-    h = max(-sum(v / total * math.log(v / total) for v in t.values()) for t in (a, b))
+    share = F.col("n") / total
+    mutual = cells.join(ny, "y").join(np_, "p").agg(F.sum(share * F.log(F.lit(float(total)) * F.col("n") / (F.col("a").cast("double") * F.col("b"))))).first()[0]
+    h = max(t.agg(-F.sum(F.col(c) / total * F.log(F.col(c) / total))).first()[0] for t, c in ((ny, "a"), (np_, "b")))
+    sizes = [tables.put(t.groupBy(c).agg(F.count(F.lit(1)).alias(f"of_{c}")), f"sizes-{c}") for t, c in ((ny, "a"), (np_, "b"))]
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, of_a, b, of_b = (batch.column(c).to_pylist() for c in ("a", "of_a", "b", "of_b"))
+            yield pa.RecordBatch.from_arrays([pa.array([m * k * _expected_hits(x, y, total) for x, m, y, k in zip(a, of_a, b, of_b)], pa.float64())], names=["e"])
+
+    tasks = max(1, min(1_000, sizes[0].count()))
+    expected = sizes[0].repartition(tasks).crossJoin(near(sizes[1])).mapInArrow(expect, "e double").agg(F.sum("e")).first()[0]
     return (mutual - expected) / (h - expected) if h != expected else 1.0
 
 
@@ -110,11 +137,32 @@ def soft_labels(score, classes: int = 5) -> list:
     return [F.when(F.lit(k) == low + 1, score - low).when(F.lit(k) == low, low - score + 1).otherwise(0.0) for k in range(1, classes + 1)]
 
 
-def regress_similarity(train: DataFrame, test: DataFrame, classes: int = 5, penalty: float = 1e-3) -> DataFrame:
-    """``id, score, predicted`` of pairs (``id, v, score`` with pair features v): a softmax over soft labels, whose mean is the prediction."""
+def expected_score(probabilities):
+    """The mean of the classes from 1 under their probabilities."""
+    return F.aggregate(F.transform(probabilities, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
+def regress_similarity(train: DataFrame, test: DataFrame, classes: int = 5, penalty: float = 1e-3, dev: DataFrame | None = None, rounds: tuple[int, ...] = (5, 10, 20, 40, 80)) -> DataFrame:
+    """``id, score, predicted`` of pairs (``id, v, score`` with pair features v): a softmax over soft labels, whose mean is the prediction.
+
+    With ``dev`` pairs the fit stops early: of growing numbers of iterations the last before the correlation with the dev scores falls is kept.
+    """
     masses = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("label"), m.alias("weight")) for k, m in enumerate(soft_labels(F.col("score"), classes))])).alias("m")
     own = train.select(array_to_vector("v").alias("features"), masses).select("features", "m.label", "m.weight").filter("weight > 0")
-    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=penalty, maxIter=100).fit(own)
-    p = vector_to_array("probability")
-    expected = F.aggregate(F.transform(p, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return model.transform(test.select("id", "score", array_to_vector("v").alias("features"))).select("id", "score", expected.alias("predicted"))
+
+    def fitted(iterations: int):
+        return LogisticRegression(family="multinomial", weightCol="weight", regParam=penalty, maxIter=iterations).fit(own)
+
+    def asked(model, rows: DataFrame) -> DataFrame:
+        return model.transform(rows.select("id", "score", array_to_vector("v").alias("features"))).select("id", "score", expected_score(vector_to_array("probability")).alias("predicted"))
+
+    if dev is None:
+        return asked(fitted(100), test)
+    best, model = -math.inf, None
+    for iterations in rounds:
+        tried = fitted(iterations)
+        agreed = asked(tried, dev).agg(F.corr("score", "predicted")).first()[0]
+        if model is not None and not (agreed is not None and agreed >= best):
+            break
+        best, model = agreed if agreed is not None else -math.inf, tried
+    return asked(model, test)

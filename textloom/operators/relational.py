@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.operators.shared import Tables, near
+
+#: Rows meant for one range of an order.
+RANGE_ROWS = 200_000
 
 
 def select(
@@ -34,3 +40,24 @@ def batches(rows: DataFrame, size: int = 5000) -> Iterator[list[Row]]:
             held = []
     if held:
         yield held
+
+
+def running_total(rows: DataFrame, order: list[Column | str], amount: Column) -> DataFrame:
+    """rows with ``upto``: the total of ``amount`` up to and with each row, in the given order (which should tell rows apart).
+
+    Rows are written by ranges of the order; the ranges' totals (one row each) give the offsets, so no task sorts the table.
+    """
+    tables = Tables(rows.sparkSession, "running")
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = rows.withColumn("amount_", amount).repartitionByRange(ranges, *order).withColumn("range_", F.spark_partition_id())
+    ranged = tables.put(ranged, "ranges")
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range_").agg(F.sum("amount_").alias("t_")).select(F.col("range_").alias("of_"), F.coalesce(F.sum("t_").over(before), F.lit(0)).alias("offset_"))
+    own = F.sum("amount_").over(Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("own_", own).join(near(tables.put(offsets, "offsets")), F.col("range_") == F.col("of_"))
+    return placed.select(*rows.columns, (F.col("offset_") + F.col("own_")).alias("upto"))
+
+
+def numbered(rows: DataFrame, order: list[Column | str], start: int = 1) -> DataFrame:
+    """rows with ``id``, dense from ``start`` in the given order."""
+    return running_total(rows, order, F.lit(1).cast("long")).withColumn("id", (F.col("upto") + (start - 1)).cast("long")).drop("upto")

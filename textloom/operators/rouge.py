@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.relational import numbered
+
 #: Exponent of the weight of consecutive matches.
 RUN_WEIGHT = 1.2
 
@@ -45,10 +47,8 @@ def bootstrap(values: DataFrame, value: str, order: str, resamples: int = 1000,
 
     Each resample draws as many rows as there are, by a hash of its number and the draw; ``order`` is a unique number of each row.
     """
-    from textloom.operators.corpus import average_ranks
-
     n = values.count()
-    placed = values.join(average_ranks(values.select(order), order), order).select(F.col(f"rank_{order}").cast("long").alias("place"), F.col(value).alias("x"))
+    placed = numbered(values.select(F.col(order).alias("o"), F.col(value).alias("x")), ["o"]).select(F.col("id").alias("place"), "x")
     draws = values.sparkSession.range(resamples * n).select(F.floor(F.col("id") / max(n, 1)).alias("resample"), F.col("id"))
     draws = draws.withColumn("place", F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % max(n, 1) + 1)
     means = draws.join(placed, "place").groupBy("resample").agg(F.avg("x").alias("m"))
@@ -72,7 +72,7 @@ def _matched(model: list[str], peer: list[str], power: float) -> np.ndarray:
                 k = run[i - 1, j - 1]
                 score[i, j] = score[i - 1, j - 1] + (k + 1) ** power - k**power
                 run[i, j] = k + 1
-            elif score[i - 1, j] > score[i, j - 1]:
+            elif score[i - 1, j] >= score[i, j - 1]:
                 score[i, j] = score[i - 1, j]
             else:
                 score[i, j] = score[i, j - 1]
@@ -81,7 +81,7 @@ def _matched(model: list[str], peer: list[str], power: float) -> np.ndarray:
         if run[i, j]:
             found[i - 1] = True
             i, j = i - 1, j - 1
-        elif score[i - 1, j] > score[i, j - 1]:
+        elif score[i - 1, j] >= score[i, j - 1]:
             i -= 1
         else:
             j -= 1
@@ -91,7 +91,9 @@ def _matched(model: list[str], peer: list[str], power: float) -> np.ndarray:
 def sequence_hits(model: list[list[str]], peer: list[list[str]], power: float = 1.0) -> tuple[float, float, float]:
     """(hit, peer, model) weights: each model sentence's words that match any peer sentence, each word used as often as both sides hold it.
 
-    With ``power`` above 1, runs of matched words weigh more than single ones.
+    With ``power`` above 1, runs of matched words weigh more than single ones.  A run ends before a word that no peer sentence
+    matches; a matched word that is used up neither ends nor adds to it, and ends the sentence without its run being counted.
+    The model's weight is the power of the sum of its sentences' weights.
     """
     left = [{}, {}]
     for side, text in zip(left, (model, peer)):
@@ -102,30 +104,33 @@ def sequence_hits(model: list[list[str]], peer: list[list[str]], power: float =
         marks = np.zeros(len(sentence), bool)
         for other in peer:
             marks |= _matched(sentence, other, power)
-        length = 0
-        for word, mark in zip(sentence, marks):
-            if mark and left[0].get(word, 0) > 0 and left[1].get(word, 0) > 0:
-                left[0][word] -= 1
-                left[1][word] -= 1
-                length += 1
-            else:
-                hit += length**power
-                length = 0
-        hit += length**power if length else 0
+        run = 0
+        for k, (word, mark) in enumerate(zip(sentence, marks)):
+            if not mark or left[0].get(word, 0) <= 0 or left[1].get(word, 0) <= 0:
+                continue
+            left[0][word] -= 1
+            left[1][word] -= 1
+            run += 1
+            if power == 1:
+                hit += 1
+            elif k + 1 == len(sentence) or not marks[k + 1]:
+                hit += run**power
+                run = 0
         base += len(sentence) ** power
-    return hit, float(sum(map(len, peer))) ** power, base
+    return hit, float(sum(map(len, peer))) ** power, base**power
 
 
 def sequence_scores(pairs: DataFrame, power: float = 1.0) -> DataFrame:
     """Adds ``recall, precision, f1`` of longest common subsequences to rows with ``peer`` and ``model`` (arrays of sentences of tokens).
 
-    With ``power`` the weighted variant; its ratios are brought back by the inverse power.
+    With ``power`` the weighted variant; its ratios are brought back by the inverse power.  A null side has no sentences,
+    a null sentence no words; both give scores of 0.
     """
 
     def run(model: pd.Series, peer: pd.Series) -> pd.DataFrame:
         out = []
         for m, p in zip(model, peer):
-            hit, of_peer, of_model = sequence_hits([list(s) for s in m], [list(s) for s in p], power)
+            hit, of_peer, of_model = sequence_hits(*([[] if s is None else list(s) for s in ([] if x is None else x)] for x in (m, p)), power)
             r, q = ((hit / x) ** (1 / power) if x else 0.0 for x in (of_model, of_peer))
             out.append((r, q, 2 * r * q / (r + q) if r + q else 0.0))
         return pd.DataFrame(out, columns=["recall", "precision", "f1"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as vec
+from textloom.operators.shared import Tables
 
 #: Vectors that meet in one block.
 BLOCK = 2_048
@@ -30,15 +32,28 @@ def _blocks(rows: DataFrame, count: int, *more: str) -> DataFrame:
     return rows.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block"), *[F.col(c).alias(f"{c}_") for c in ("id", "v", *more)]).toDF("block", "id", "v", *more)
 
 
+def best_of(queries: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> list[np.ndarray]:
+    """(query, id, score) of each row's k largest finite scores to nine digits (ties: the smaller id); only those at or above the k-th are sorted."""
+    rounded = np.round(score, 9)
+    least = -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k] if rounded.shape[1] > k else np.full((len(score), 1), -np.inf)
+    row, col = np.nonzero((rounded >= least) & (rounded > -np.inf))
+    order = np.lexsort((ids[col], -rounded[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    return [queries[row], ids[col], score[row, col]]
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "dot", doc: bool = False, intra: float = -np.inf, inter: float = -np.inf) -> DataFrame:
     """``query, id, score``: for each query (``id, v``) its k best vectors, exactly; ties go to the smaller id.
 
     ``metric`` is ``dot`` (larger is better) or ``euclidean`` (a distance).  With ``doc`` both tables have a
     column of that name, a query does not meet itself, and only scores of at least ``intra`` (same document)
     or ``inter`` count.  Blocks of queries meet blocks of vectors as matrices; each meeting keeps k
-    rows a query, so what is shuffled afterwards is bounded by k times the number of blocks.
+    rows a query, so what is shuffled afterwards is bounded by k times the number of blocks.  Rows without a vector are left out.
     """
     more = ["doc"] if doc else []
+    queries, vectors = (t.filter(F.col("v").isNotNull()) for t in (queries, vectors))
     of_vectors = max(1, -(-vectors.count() // BLOCK))
     of_queries = max(1, -(-queries.count() // BLOCK))
     left = _blocks(queries, of_queries, *more).withColumnRenamed("block", "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(of_vectors - 1))))
@@ -55,19 +70,129 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "do
             if doc:
                 same = q.column("doc").to_numpy()[:, None] == v.column("doc").to_numpy()[None]
                 score = np.where((np.round(score, 9) >= np.where(same, intra, inter)) & (of[:, None] != ids[None]), score, -np.inf)
-            rounded = np.round(score, 9)
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -rounded), axis=1)[:, :k]
-            best = np.take_along_axis(score, order, 1)
-            ok = best > -np.inf
-            found = [np.repeat(of, order.shape[1])[ok.ravel()], ids[order].ravel()[ok.ravel()], best.ravel()[ok.ravel()]]
+            found = best_of(of, ids, score, k)
         if metric == "euclidean":
             found[2] = -found[2]
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query", "id", "score"])
 
     met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, "query long, id long, score double")
+    return _merged(met, k, metric).select("query", "id", "score")
+
+
+def _merged(met: DataFrame, k: int, metric: str) -> DataFrame:
     rounded = F.round("score", 9)
     place = F.row_number().over(Window.partitionBy("query").orderBy(rounded if metric == "euclidean" else rounded.desc(), "id"))
-    return met.withColumn("place", place).filter(F.col("place") <= k).select("query", "id", "score")
+    return met.withColumn("place", place).filter(F.col("place") <= k)
+
+
+class VantageTree:
+    """A complete binary tree over space: a node's half of the sample lies within ``radius`` of its vantage point, the other beyond.
+
+    Node n has the children 2n + 1 (within) and 2n + 2; regions are the leaves, numbered from 0.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        inner = (1 << depth) - 1
+        self.depth, self.points, self.radius = depth, np.zeros((inner, sample.shape[1])), np.zeros(inner)
+        held = {0: sample}
+        for n in range(inner):
+            own = held.pop(n)
+            if len(own):
+                self.points[n] = own[0]
+                distance = np.linalg.norm(own - own[0], axis=1)
+                self.radius[n] = np.median(distance)
+                inside = distance < self.radius[n]
+            else:
+                inside = np.zeros(0, bool)
+            held[2 * n + 1], held[2 * n + 2] = own[inside], own[~inside]
+
+    def region(self, v: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(v), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (np.linalg.norm(v - self.points[node], axis=1) >= self.radius[node])
+        return node - len(self.radius)
+
+    def reached(self, v: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, region): the regions that can hold a vector within the bound of the row's."""
+        row, node = np.arange(len(v)), np.zeros(len(v), np.int64)
+        for _ in range(self.depth):
+            slack = np.linalg.norm(v[row] - self.points[node], axis=1) - self.radius[node]
+            inside, outside = slack <= bound[row] + 1e-8, -slack <= bound[row] + 1e-8
+            row, node = np.concatenate([row[inside], row[outside]]), np.concatenate([2 * node[inside] + 1, 2 * node[outside] + 2])
+        return row, node - len(self.radius)
+
+
+def tree_neighbours(queries: DataFrame, vectors: DataFrame, k: int, leaf: int = BLOCK, sample: int = 8_192, most_depth: int = 10) -> DataFrame:
+    """``query, id, score, looked``: as ``neighbours`` by Euclidean distance, exactly, and how many distances were computed for the query.
+
+    The driver builds a vantage-point tree of at most ``2 ** most_depth`` regions over ``sample`` vectors that a hash picks.  A query first
+    searches its own region; its k-th distance there, by the triangle inequality, rules out regions, and it goes on to those left.  A region
+    with more than BLOCK vectors is cut into chunks that meet its queries one by one.
+    """
+    tables = Tables(vectors.sparkSession, "tree")
+    queries, vectors = (t.filter(F.col("v").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v")) for t in (queries, vectors))
+    vectors, queries = tables.put(vectors, "vectors"), tables.put(queries, "queries")
+    n = vectors.count()
+    depth = max(0, min(most_depth, math.ceil(math.log2(max(n, 1) / leaf)))) if n > leaf else 0
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect() if depth else []
+    tree = VantageTree(np.array([r["v"] for r in picked]), depth) if depth else None
+
+    def stacked(column: pa.Array) -> np.ndarray:
+        return np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        if tree is None:
+            return rows.withColumn("region", F.lit(0).cast("long"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.region(stacked(b.column(1))))], names=["id", "v", "region"])
+
+        return rows.mapInArrow(run, "id long, v array<double>, region long")
+
+    def meet(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if q.num_rows and v.num_rows:
+            a, b = stacked(q.column("v")), stacked(v.column("v"))
+            score = -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
+            found = best_of(q.column("id").to_numpy(), v.column("id").to_numpy(), score, k)
+        alike = [pa.array([x.as_py()] * len(found[0]), pa.int64()) for x in key[:2]] + [pa.array([v.num_rows] * len(found[0]), pa.int64())]
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(-found[2], pa.float64()), *alike], names=["query", "id", "score", "region", "chunk", "looked"])
+
+    held = placed(vectors)
+    counts = tables.put(held.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks")), "regions")  # one row a region
+    held = tables.put(held.join(F.broadcast(counts), "region").select("id", "v", "region", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")), "held")
+
+    def searched(asked: DataFrame, name: str) -> DataFrame:
+        every = asked.join(F.broadcast(counts), "region").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+        every = every.select("id", "v", "region", "chunk", F.pmod(F.xxhash64("id"), F.lit(-(-asked.count() // BLOCK) or 1)).alias("part"))
+        parts = every.select("region", "chunk", "part").distinct()
+        there = held.join(parts, ["region", "chunk"]).select(*[F.col(c).alias(f"{c}_") for c in ("region", "chunk", "part", "id", "v")]).toDF("region", "chunk", "part", "id", "v")
+        met = every.groupBy("region", "chunk", "part").cogroup(there.groupBy("region", "chunk", "part")).applyInArrow(meet, "query long, id long, score double, region long, chunk long, looked long")
+        return tables.put(met, name)
+
+    own = tables.put(placed(queries), "own")
+    near = searched(own, "near")
+    if tree is None:
+        return _with_looked(near, k)
+    bounds = _merged(near, k, "euclidean").groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("bound"))
+    asked = own.join(bounds.withColumnRenamed("query", "id"), "id", "left").select("id", "v", "region", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                row, region = tree.reached(stacked(b.column(1)), b.column(3).to_numpy())
+                other = region != b.column(2).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[other])), b.column(1).take(pa.array(row[other])), pa.array(region[other])], names=["id", "v", "region"])
+
+    far = searched(tables.put(asked.mapInArrow(visits, "id long, v array<double>, region long"), "visits"), "far")
+    return _with_looked(near.unionByName(far), k)
+
+
+def _with_looked(met: DataFrame, k: int) -> DataFrame:
+    looked = met.select("query", "region", "chunk", "looked").distinct().groupBy("query").agg(F.sum("looked").alias("looked"))
+    return _merged(met, k, "euclidean").select("query", "id", "score").join(looked, "query")
 
 
 def sentence_vectors(sentences: DataFrame, words: DataFrame, keys: list[str], how: str = "avg") -> DataFrame:
@@ -108,6 +233,7 @@ def linear_map(pairs: DataFrame) -> np.ndarray:
     """The matrix M of the least squares ``y ~ x M`` over rows ``x, y``.
 
     Tasks add up their own parts of the normal equations; the driver gets one small matrix a task group and solves.
+    Rows that lack x or y are left out.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +246,7 @@ def linear_map(pairs: DataFrame) -> np.ndarray:
             at = [(m, i, j, v) for m, a in enumerate((xx, xy)) for (i, j), v in np.ndenumerate(a)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in at]) for c in range(4)], names=["m", "i", "j", "v"])
 
-    rows = pairs.select("x", "y").mapInArrow(parts, "m long, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v")).collect()  # two matrices
+    rows = pairs.select("x", "y").dropna().mapInArrow(parts, "m long, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v")).collect()  # two matrices
     found = [np.zeros((1 + max((r["i"] for r in rows), default=-1), 1 + max((r["j"] for r in rows if r["m"] == m), default=-1))) for m in (0, 1)]
     for r in rows:
         found[r["m"]][r["i"], r["j"]] = r["v"]

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words up to which a vocabulary may be held by one task.
-VOCABULARY = 5_000_000
+from textloom.functions import stem
+from textloom.operators.relational import numbered, running_total
 
 
 def encoded(rows: DataFrame, vocabulary: DataFrame, keys: list[str], unknown: int | None = 1) -> DataFrame:
@@ -32,10 +32,19 @@ def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, " "), 1, n), " ")
 
 
-def evaluation_tokens(text: Column) -> Column:
-    """Tokens for overlap scores: hyphens stand alone, anything but letters, digits and hyphens parts words."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "-", " - "), "[^a-z0-9-]", " ")
-    return F.filter(F.split(plain, " +"), lambda x: x.rlike("^[a-z0-9$]"))
+def evaluation_tokens(text: Column, stop_words: Sequence[str] = (), stems: bool = False, exceptions: dict[str, str] | None = None) -> Column:
+    """Tokens for overlap scores: hyphens stand alone, anything but letters, digits and hyphens parts words, only ASCII letters are lower-cased.
+
+    Stop words go first, then what begins with neither letter nor digit; with ``stems``, words of more than three letters become
+    what ``exceptions`` says, else their stem.
+    """
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.regexp_replace(F.regexp_replace(lower, "-", " - "), "[^a-z0-9-]", " ")
+    words = F.split(plain, " +")
+    if stop_words:
+        words = F.filter(words, lambda x: ~x.isin(*stop_words))
+    words = F.filter(words, lambda x: x.rlike("^[a-z0-9$]"))
+    return stem.stemmed(words, exceptions, 3) if stems else words
 
 
 def _chosen(tokens: Column, share: float, key: Column) -> Column:
@@ -71,27 +80,68 @@ def swapped(tokens: Column, share: float, key: Column) -> Column:
     return _with(_chosen(pairs, share, key), moved)
 
 
+class _Merges:
+    """A Huffman tree over classes of nodes of one weight: whole classes are paired at once, so its size follows the distinct counts, not the words.
+
+    ``parts[c]`` are stretches of class c: (first place, last place + 1, parent class, parent's first place, bit), where bit None
+    means pairs: places 2k and 2k + 1 become place k of the parent, with the bits 0 and 1.
+    """
+
+    def __init__(self, counts: list[tuple[int, int]]):
+        self.parts: list[list[tuple]] = [[] for _ in counts]
+        heap = [(n, k, 0, m) for k, (n, m) in enumerate(counts)]  # weight, class, first place, members
+        heapq.heapify(heap)
+        while heap:
+            n, c, first, m = heapq.heappop(heap)
+            if m > 1:
+                pairs = m // 2
+                up = self._new()
+                self.parts[c].append((first, first + 2 * pairs, up, 0, None))
+                heapq.heappush(heap, (2 * n, up, 0, pairs))
+                if m % 2:
+                    heapq.heappush(heap, (n, c, first + m - 1, 1))
+            elif heap:
+                n2, c2, first2, m2 = heapq.heappop(heap)
+                up = self._new()
+                self.parts[c].append((first, first + 1, up, 0, "0"))
+                self.parts[c2].append((first2, first2 + 1, up, 0, "1"))
+                heapq.heappush(heap, (n + n2, up, 0, 1))
+                if m2 > 1:
+                    heapq.heappush(heap, (n2, c2, first2 + 1, m2 - 1))
+
+    def _new(self) -> int:
+        self.parts.append([])
+        return len(self.parts) - 1
+
+    def code(self, c: int, place: int) -> str:
+        bits = []
+        while True:
+            part = next((p for p in self.parts[c] if p[0] <= place < p[1]), None)
+            if part is None:
+                return "".join(reversed(bits))
+            first, _, up, at, bit = part
+            bits.append(bit or str((place - first) % 2))
+            c, place = up, at + (0 if bit else (place - first) // 2)
+
+
 def huffman_codes(vocabulary: DataFrame) -> DataFrame:
-    """``term, code``: binary codes of shortest mean length by ``term, n``.  One task holds the vocabulary, of VOCABULARY words at most."""
-    if vocabulary.limit(VOCABULARY + 1).count() > VOCABULARY:
-        raise ValueError("prune the vocabulary first")
+    """``term, code``: binary codes of shortest mean length by ``term, n``; one term alone has the empty code.
+
+    The tree is built from how many words have each count (at most the root of twice the total of counts); every
+    word then reads its code off by its place among the words of its count.
+    """
+    by_count = sorted((r["n"], r["count"]) for r in vocabulary.groupBy("n").count().collect())  # distinct counts
+    merges, first, before = _Merges(by_count), {}, 0
+    for k, (n, m) in enumerate(by_count):
+        first[n], before = (k, before), before + m
+    placed = numbered(vocabulary.select("term", "n"), ["n", "term"], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sorted((n, t) for b in batches for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        heap = [(n, i, i) for i, (n, _) in enumerate(words)]
-        heapq.heapify(heap)
-        parent: list[tuple[int, str]] = [(-1, "")] * max(2 * len(words) - 1, 0)
-        for node in range(len(words), 2 * len(words) - 1):
-            (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a], parent[b] = (node, "0"), (node, "1")
-            heapq.heappush(heap, (n + m, node, node))
-        codes = [""] * len(parent)
-        for node in range(len(parent) - 2, -1, -1):
-            up, bit = parent[node]
-            codes[node] = codes[up] + bit
-        yield pa.RecordBatch.from_arrays([pa.array([t for _, t in words], pa.string()), pa.array(codes[: len(words)], pa.string())], names=["term", "code"])
+        for batch in batches:
+            found = [merges.code(first[n][0], at - first[n][1]) for n, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["term", "code"])
 
-    return vocabulary.select("term", "n").repartition(1).mapInArrow(run, "term string, code string")
+    return placed.select("term", "n", "id").mapInArrow(run, "term string, code string")
 
 
 def word_breaks(text: Column, ranked: list[str]) -> Column:
@@ -120,10 +170,8 @@ def word_breaks(text: Column, ranked: list[str]) -> Column:
 
 def sample_with_replacement(rows: DataFrame, id_col: str, draws: int, seed: int = 2000) -> DataFrame:
     """``draw`` and the columns of rows: ``draws`` rows chosen by hash, each from all rows in the order of the id (unique)."""
-    from textloom.operators.corpus import average_ranks
-
     n = rows.count()
     hashed = F.conv(F.substring(F.md5(F.concat(F.col("draw").cast("string"), F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("long")
     chosen = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("place", hashed % max(n, 1) + 1)
-    placed = rows.join(average_ranks(rows, id_col).withColumn("place", F.col(f"rank_{id_col}").cast("long")), id_col)
+    placed = running_total(rows, [id_col], F.lit(1).cast("long")).withColumnRenamed("upto", "place")
     return chosen.join(placed, "place").select("draw", *rows.columns)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as vec
-from textloom.operators import corpus, graphs, spaces
+from textloom.operators import corpus, graphs, relational, spaces
+from textloom.operators.shared import Tables
 from textloom.plans.catalogue import TURNS, _turns, query
 
 V = "vecs as (select vec_id as id, embedding::double[] as v, vec_id // 10 as doc, label from embeddings),"
@@ -25,11 +26,8 @@ def _cells(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _word_vectors(t) -> DataFrame:
     counts = _turns(t).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    # The rank of a word by count, then by name: places among words of one count, after those of larger counts.
-    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-    before = by_count.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a count
-    ranked = counts.join(before, "n").withColumn("id", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("term")) - 1)
-    return ranked.join(_vectors(t), "id").select("term", "v")
+    # The rank of a word by count, then by name.
+    return relational.numbered(counts, [F.desc("n"), "term"], 0).join(_vectors(t), "id").select("term", "v")
 
 
 @query("with " + V + "x as (select id, generate_subscripts(v, 1)::int - 1 as k, unnest(list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-6))) as x from vecs) select id, k, round(x, 6) + 0 as x from x")
@@ -91,6 +89,13 @@ def knn_euclidean(t):
     return found.select("query", "id", F.round("score", 6).alias("s"))
 
 
+@query(_knn_sql("sqrt(greatest(0, list_dot_product(q.v, q.v) + list_dot_product(e.v, e.v) - 2 * list_dot_product(q.v, e.v)))", ""))
+def metric_tree_knn(t):
+    """The same neighbours from a metric tree, which leaves out regions that cannot hold any."""
+    found = spaces.tree_neighbours(_vectors(t).filter("id % 20 = 0"), _vectors(t), 10)
+    return found.select("query", "id", F.round("score", 6).alias("s"))
+
+
 GRAPH = V + """sims as (select a.id as q, b.id as id, list_dot_product(a.v, b.v) as s from vecs a, vecs b where a.id <> b.id and round(list_dot_product(a.v, b.v), 9) >= case when a.doc = b.doc then 0.2 else 0.3 end),
 best as (select * from sims qualify row_number() over (partition by q order by round(s, 9) desc, id) <= 20),
 graph as (select least(q, id) as a, greatest(q, id) as b, max(s) as weight from best group by all),"""
@@ -173,7 +178,8 @@ def retrofit_weighted(t):
 
 @query()
 def random_walks(t):
-    return graphs.random_walks(_graph(t).persist(), per_node=2, length=4).select("start", "walk", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
+    edges = Tables(t("embeddings").sparkSession, "graph").put(_graph(t), "edges")
+    return graphs.random_walks(edges, per_node=2, length=4).select("start", "walk", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
 @query()

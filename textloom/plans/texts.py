@@ -15,8 +15,7 @@ VOCAB = "wc as (select term, count(*) as n from (select unnest(tokens) as term f
 
 def _ids(t) -> DataFrame:
     counts = _turns(t).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
-    before = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a count
-    return counts.join(before, "n").select("term", (F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("term")) + 1).alias("id"))
+    return relational.numbered(counts, [F.desc("n"), "term"], 2).select("term", "id")
 
 
 def _joined(column: str):

@@ -22,19 +22,24 @@ NEWS_TOPICS = (
 #: News-wire topics that a document may get, and those that are read but not kept (fixed values).
 WIRE_TOPICS = ("earn", "acq", "money-fx", "grain", "crude", "trade", "interest", "ship", "wheat", "corn")
 WIRE_DROPPED = ("wheat", "corn", "other")
+#: Rows that one task may sort.
+SORTED_ROWS = 100_000
 #: Tag groups of a news-wire document (fixed values).
 WIRE_GROUPS = ("topics", "places", "people", "orgs", "exchanges", "companies")
 
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``path, value`` of all files below a folder; bytes that are not UTF-8 are left out, and so is all under hidden folders."""
+    """``path, value`` of all files below a folder; bytes that are not UTF-8 are left out, and so is all under hidden folders below it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    depth = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).depth()
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("value"))
-    return files.filter(~hidden(F.col("path")))
+    return files.filter(~hidden(F.col("path"), depth))
 
 
-def hidden(path: Column) -> Column:
-    """Whether some folder of the path begins with a dot."""
-    return F.exists(F.slice(F.split(path, "/"), 2, 1_000), lambda x: x.startswith("."))
+def hidden(path: Column, depth: int = 0) -> Column:
+    """Whether a name of the path begins with a dot, after the first ``depth`` names."""
+    names = F.filter(F.split(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/"), lambda x: x != "")
+    return F.exists(names, lambda x: x.startswith(".")) if not depth else F.exists(F.filter(names, lambda x, i: i >= depth), lambda x: x.startswith("."))
 
 
 def _folder(path: Column, up: int) -> Column:
@@ -49,22 +54,26 @@ def topic_columns(path: Column) -> list[Column]:
 def with_validation(docs: DataFrame, id_col: str, share: float = 0.2, seed: int = 2000) -> DataFrame:
     """Turns ``istrain`` of the share of training rows that a seeded hash puts first from YES to VALID.
 
-    The cut is the hash value below which ``round(share * n)`` training rows lie, taken from counts of the
-    hash's leading digits, then of the rows that share the last digit's range, so no task sorts the table.
+    The cut is the hash value below which ``round(share * n)`` training rows lie, taken from counts of the hash's leading
+    digits, three more at a time, until few rows share them; so no task sorts the table.
     """
     key = F.concat(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}"))), F.lit("-"), F.col(id_col).cast("string"))
     train = docs.filter("istrain = 'YES'").select(key.alias("key"))
-    wanted = round(share * train.count())
-    by_digits = sorted((r["d"], r["count"]) for r in train.groupBy(F.substring("key", 1, 3).alias("d")).count().collect())  # 4,096 at most
-    last, before = "", 0
-    for digits, n in by_digits:
-        if before + n > wanted:
-            last = digits
+    wanted, prefix, inside = round(share * train.count()), "", train.count()
+    before = 0  # rows that come before those with the prefix
+    while inside > SORTED_ROWS:
+        counts = train.filter(F.col("key").startswith(prefix)).groupBy(F.substring("key", 1, len(prefix) + 3).alias("d")).count()
+        for digits, n in sorted((r["d"], r["count"]) for r in counts.collect()):  # 4,096 at most
+            if before + n > wanted:
+                prefix, inside = digits, n
+                break
+            before += n
+        else:
             break
-        before += n
-    near = train.filter(F.substring("key", 1, 3) == last).orderBy("key").limit(wanted - before).agg(F.max("key")).first()[0] if wanted > before else None
-    cut = near if near is not None else last
-    valid = (F.col("istrain") == "YES") & ((key <= cut) if near is not None else (key < last) if last else F.lit(wanted > 0))
+        if len(prefix) > 30:  # rows of one id
+            break
+    near = train.filter(F.col("key").startswith(prefix)).orderBy("key").limit(wanted - before).agg(F.max("key")).first()[0] if wanted > before else None
+    valid = (F.col("istrain") == "YES") & ((key <= near) if near is not None else (key < prefix) if prefix else F.lit(wanted > 0))
     return docs.withColumn("istrain", F.when(valid, "VALID").otherwise(F.col("istrain")))
 
 
@@ -208,7 +217,7 @@ def parse_vectors(lines: DataFrame) -> DataFrame:
 
 def star_edges(lexicon: DataFrame) -> DataFrame:
     """``src, dst``: the first word of each line (``tokens``) with each of the others, lower-cased, once."""
-    return lexicon.select(F.lower(F.col("tokens")[0]).alias("src"), F.explode(F.slice("tokens", 2, 1_000_000)).alias("d")).select("src", F.lower("d").alias("dst")).distinct()
+    return lexicon.select(F.lower(F.col("tokens")[0]).alias("src"), F.explode(F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0)))).alias("d")).select("src", F.lower("d").alias("dst")).distinct()
 
 
 def read_newsgroups(spark: SparkSession, path: str) -> DataFrame:

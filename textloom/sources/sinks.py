@@ -4,24 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as vec
+from textloom.operators.relational import numbered
 
 
 def with_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
-    """rows with ``id``, dense from ``start`` in the given order.
-
-    Rows are dealt by ranges of the order; the ranges' counts (one row each) give the offsets, so no task sorts the table.
-    """
-    parts = max(1, rows.rdd.getNumPartitions())
-    ranged = rows.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("part_").alias("of_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
-    placed = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return ranged.withColumn("row_", placed).join(F.broadcast(offsets), F.col("part_") == F.col("of_")).select((F.col("offset_") + F.col("row_") + start - 1).cast("long").alias("id"), *rows.columns)
+    """``id`` and the columns of rows, ids dense from ``start`` in the given order."""
+    return numbered(rows, list(order), start).select("id", *rows.columns)
 
 
 def insert(rows: DataFrame, path: str, order: list[str] | None = None) -> DataFrame:
