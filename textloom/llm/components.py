@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch
 
+#: Far more than the logarithm of any component's size.
+MOST_ROUNDS = 200
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): root is the smallest node of its component.
@@ -15,11 +18,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     smaller neighbours likewise, until nothing changes; the number of rounds
     grows with the logarithm of the component's size.  Minima are combined
     before the shuffle, and no task collects a node's neighbours.  Every round is
-    a written table, so lost executors cost one round at most.
+    a written table, so lost executors cost one round at most.  Rounds end when a table's links are those of the one before, by their number and the
+    sums of two 64-bit hashes of each; RuntimeError if MOST_ROUNDS do not suffice.
     """
     now = scratch.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before = None
-    for k in range(1, 100):
+    for k in range(1, MOST_ROUNDS + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -27,9 +31,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         linked = large.join(lower, "a")
         small = linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
         now = scratch.put(small, f"{name}-{k}")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        sums = [F.sum(F.xxhash64(*keys).cast("decimal(20,0)")) for keys in (("a", "b"), ("b", F.lit(1), "a"))]
+        state = tuple(now.agg(F.count(F.lit(1)), *sums).first())
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not complete after {MOST_ROUNDS} rounds")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return scratch.put(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), f"{name}-roots")
