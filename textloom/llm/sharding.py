@@ -22,6 +22,9 @@ BUCKET_ROWS = 50_000
 #: Rows alike in id and text above which they are numbered and dealt apart.
 HOT_ROWS = 2_000
 
+#: Tasks that the buckets are dealt to, at most.
+TASKS = 20_000
+
 #: Buckets whose places are summed up in one task.
 GROUP = 4_096
 
@@ -89,7 +92,7 @@ def shuffle_into_shards(
         taken = rows.select(["doc_id", "text"]).take(pa.array(order))
         return taken.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(at - firsts[shard]))
 
-    scattered = dealt.drop("nth").repartition(buckets, "bucket")
+    scattered = dealt.drop("nth").repartition(min(buckets, TASKS), "bucket")  # a task takes its buckets one by one
     return scattered.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(fisher_yates, out)
 
 
