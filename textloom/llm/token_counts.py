@@ -125,12 +125,12 @@ def count_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(version, lambda: shared.value)
-        seen: set[bytes] = set()
-        for batch in batches:
+        last = None
+        for batch in batches:  # sorted by digest, so equal ones are neighbours
             digests, at = batch.column(1).to_pylist(), []
             for i, d in enumerate(digests):
-                if d not in seen:
-                    seen.add(d)
+                if d != last:
+                    last = d
                     at.append(i)
             counts = counter(batch.column(0).take(pa.array(at, pa.int64())).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -143,7 +143,7 @@ def count_tokens(
     if not known.isEmpty():
         distinct = distinct.join(known.select("digest"), "digest", "left_anti").select("text", "digest")
     with short_batches(spark):
-        distinct.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+        distinct.repartition("digest").sortWithinPartitions("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
     counts = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # one row each, should two runs have appended the same
