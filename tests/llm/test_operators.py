@@ -252,41 +252,6 @@ def test_fingerprints_follow_the_order(docs, empty):
     assert {r.doc_id for r in pairs} & set(range(11, 30))
 
 
-def test_all_pairs_of_a_bucket_meet(spark, monkeypatch):
-    r = random.Random(9)
-    first, second = ("".join(r.choice("0123456789abcdef") for _ in range(48)) for _ in range(2))
-    # The smallest id shares every bucket with the others and is unlike them.
-    prints = [(1, "0:" + first + second[::-1])] + [(i, "0:" + first + second[:i] + "0" + second[i + 1 :]) for i in range(2, 12)]
-    walker = fingerprints.Walker()
-    want = {(b[0], a[0]) for a, b in itertools.combinations(prints, 2) if fingerprints.likeness(walker, a[1], b[1]) >= 0.8}
-    assert (3, 2) in want and (2, 1) not in want
-    equal = {p: min(i for i, q in prints if q == p) for _, p in prints}
-    want = {(b, a) for b, a in want if equal[dict(prints)[b]] in (a, b) and equal[dict(prints)[a]] == a}
-    for block in (512, 3):
-        monkeypatch.setattr(fingerprints, "BLOCK", block)
-        got = fingerprints.near_pairs(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()
-        assert sorted((x.doc_id, x.rep_id) for x in got) == sorted(want)
-
-
-def test_near_copies_against_brute_force(spark):
-    r = random.Random(11)
-    texts = []
-    for _ in range(12):
-        base = [r.choice("abcdefghij") * 2 + str(r.randrange(100)) for _ in range(150)]
-        for edits in (0, 1, 2, 6, 40):
-            copy = list(base)
-            for _ in range(edits):
-                copy[r.randrange(len(copy))] = "edit"
-            texts.append(" ".join(copy))
-    walker = fingerprints.Walker()
-    want = {(j, i): fingerprints.whole_likeness(walker, texts[i], texts[j]) for i, j in itertools.combinations(range(len(texts)), 2)}
-    want = {k: v for k, v in want.items() if v >= 0.8}
-    got = {(x.doc_id, x.rep_id): x.likeness for x in fingerprints.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all(want[k] == v for k, v in got.items())
-    print("recall", len(got), len(want))
-    assert len(got) >= 0.95 * len(want) > 10
-
-
 def test_media_round_trip(docs, empty):
     got = media.read_media(media.to_media(docs)).collect()
     assert len(got) == len(rows())

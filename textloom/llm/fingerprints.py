@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import text_or_empty, worker_state
+from textloom.llm.common import Scratch, text_or_empty, worker_state
+from textloom.llm.components import connected_components
 
 CLASSES = 256
 PERIOD = 4096
@@ -30,8 +31,11 @@ SAMPLES = 96
 SEED = 7
 #: Characters walked over at once.
 CELLS = 4 << 20
-#: Members of a bucket that meet in one block.
-BLOCK = 512
+#: Fingerprints of a bucket that meet in one task at once, and those meant for one task.
+PART = 4_096
+TASK_PRINTS = 50_000
+#: Ranges that ``compare_with_next`` deals documents into, at most; the driver holds a few numbers of each.
+RANGES = 16_384
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -188,84 +192,107 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(run, out)
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, digits: int = 4) -> DataFrame:
-    """Likely near-copies: ``doc_id, rep_id, likeness`` with likeness of at least ``least``.
+def _band_picks(bands: int, digits: int, width: int) -> np.ndarray:
+    """Shared places of the samples that each band takes."""
+    return np.random.Generator(np.random.PCG64([SEED, bands])).integers(0, width, (bands, digits))
 
-    Each band takes a few seeded sample steps of a level; equal digits there put
-    documents in one bucket.  All pairs of a bucket are compared: its members are
-    dealt to blocks of bounded size, and every two blocks meet.  Longer prints also
-    join at the next coarser level, as lengths of near-copies differ.  ``rep_id``
-    is the smaller id; documents of equal prints are paired with the smallest
-    alone, which stands for them in the other pairs.  Prints without an id are left out.
+
+def band_keys(walker: Walker, fingerprint: str, bands: int, digits: int) -> list[tuple[int, int]]:
+    """(level, key) of the buckets of a fingerprint: its bands at its own level and at the next coarser one, as lengths of near-copies differ."""
+    level, _, s = fingerprint.partition(":")
+    level, found = int(level, 16), []
+    for to in (level, level + 1):
+        values = _coarser(walker, s, level, to)
+        if not len(values):
+            continue
+        picks = _band_picks(bands, digits, SAMPLES // 2)
+        picks = picks[(picks < len(values)).all(axis=1)] if len(values) < SAMPLES // 2 else picks
+        parts = [(b, values[p].tobytes()) for b, p in enumerate(picks)] or [(-1, values.tobytes())]
+        found += [(to, int.from_bytes(hashlib.blake2b(b"%d:%d:" % (to, b) + x, digest_size=8).digest(), "big", signed=True)) for b, x in parts]
+    return sorted(set(found))
+
+
+def linked(walker: Walker, prints: list[str], level: int, least: float, first: int | None = None) -> list[tuple[int, int]]:
+    """Links (places in prints) enough to join all that are at least so alike, comparing at ``level``, the coarser of the two prints'.
+
+    Prints one after the other meet all that are not yet joined to them, so a large group of near-copies costs little more than its size.
+    With ``first`` only pairs of one of the first so many prints and one of the rest are compared.
     """
-    spark = prints.sparkSession
-
-    def keys(rows: pd.Series) -> pd.Series:
-        walker, found = _walker(), []
-        for p in rows:
-            level, _, s = p.partition(":")
-            level, mine = int(level, 16), []
-            for to in (level, level + 1):
-                values = _coarser(walker, s, level, to)
-                if len(values) < digits:
-                    mine.append(f"{to}:{values.tobytes().decode()}")
-                    continue
-                half = max(digits, SAMPLES // 2)
-                picks = np.random.Generator(np.random.PCG64([SEED, bands])).integers(0, min(half, len(values)), (bands, digits))
-                mine += [f"{to}:{b}:{values[picks[b]].tobytes().decode()}" for b in range(bands)]
-            found.append(sorted(set(mine)))
-        return pd.Series(found)
-
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        walker = _walker()
-        return pd.Series([likeness(walker, x, y) for x, y in zip(a, b)], dtype=float)
-
-    keyed = F.pandas_udf(keys, T.ArrayType(T.StringType()))
-    alike = F.pandas_udf(compare, T.DoubleType())
-    # Equal prints are one class; only its smallest id goes on.
-    own = prints.filter(F.length("fingerprint") > 2).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    copies = prints.join(own.withColumnRenamed("doc_id", "rep_id"), "fingerprint").filter(F.col("doc_id") != F.col("rep_id")).select("doc_id", "rep_id", F.lit(1.0).alias("likeness"))
-    bucketed = own.filter("doc_id is not null").select("doc_id", "fingerprint", F.explode(keyed("fingerprint")).alias("bucket"))
-    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocked = bucketed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "fingerprint")
-    a = dealt.filter("own = x").select("bucket", "x", "y", F.col("doc_id").alias("a"), F.col("fingerprint").alias("pa"))
-    b = dealt.filter("own = y").select("bucket", "x", "y", F.col("doc_id").alias("b"), F.col("fingerprint").alias("pb"))
-    met = a.join(b, ["bucket", "x", "y"]).filter("x < y or pa < pb")
-    swap = F.col("a") > F.col("b")
-    pairs = met.select(
-        F.greatest("a", "b").alias("doc_id"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("fingerprint"),
-        F.least("a", "b").alias("rep_id"), F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("other"),
-    ).distinct()
-    return copies.unionByName(pairs.withColumn("likeness", alike("fingerprint", "other")).filter(F.col("likeness") >= least).select("doc_id", "rep_id", "likeness"))
-
-
-def whole_likeness(walker: Walker, a: str, b: str) -> float:
-    """Share of all steps, of either text's walk, at which both wrote alike (1.0 for two empty texts)."""
-    written = []
-    for codes in (codes_of(a), codes_of(b)):
-        left = walk(walker, [codes])[0]
-        written.append(codes[np.searchsorted(left, np.arange(left[-1]), side="right")] if len(codes) else codes)
-    n, most = min(map(len, written)), max(map(len, written))
-    return float((written[0][:n] == written[1][:n]).sum()) / most if most else 1.0
-
-
-def near_copies(docs: DataFrame, least: float = 0.8, slack: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, rep_id, likeness`` of near-copies, verified on the texts' whole embeddings.
-
-    Candidates are those of ``near_pairs`` whose sampled likeness is at least ``least - slack``.
-    Ids are taken as unique; rows without one are left out.
+    levels = np.array([int(p.partition(":")[0], 16) for p in prints])
+    values = [_coarser(walker, p.partition(":")[2], int(k), level) for p, k in zip(prints, levels)]
+    sizes = np.array([len(v) for v in values])
+    matrix = np.zeros((len(prints), max(int(sizes.max(initial=0)), 1)), np.uint8)
+    for row, v in zip(matrix, values):
+        row[: len(v)] = v
+    root, place, found = np.arange(len(prints)), np.arange(len(prints)), []
+    for k in range(len(prints) if first is None else first):
+        # Two finer prints meet at their own level, not here.
+        other = (root != root[k]) & ((levels == level) | (levels[k] == level)) & (place > k if first is None else place >= first)
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        n = np.minimum(sizes[at], sizes[k])
+        alike = ((matrix[at] == matrix[k]) & (np.arange(matrix.shape[1])[None] < n[:, None])).sum(axis=1)
+        at = at[alike >= least * np.maximum(np.maximum(sizes[at], sizes[k]), 1) - 1e-12]
+        if len(at):
+            found += [(k, int(x)) for x in at]
+            joined = np.unique(np.append(root[at], root[k]))
+            root[np.isin(root, joined)] = joined[0]
+    return found
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, bands: int = 12, digits: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, class_id`` of every row: classes of near-copies by their sampled embeddings.
+
+    Bands of a few shared samples put distinct fingerprints in buckets; within a bucket those of a likeness of at least
+    ``least`` are linked, and the smallest id reachable names the class.  A pair of likeness 0.8 shares a bucket with a chance of
+    0.94 (one of 0.9 always but for 0.2 %); every link made is verified.  Buckets of more than PART fingerprints are dealt into parts that
+    meet two by two.  Only keys are shuffled for all fingerprints; the fingerprints themselves only for buckets of several.
+
+    Empty and null texts are one class.  Null ids stay null and name a class only without any other; repeated
+    rows give repeated results, an empty table none; other columns are not read.
     """
+    scratch = Scratch(docs.sparkSession, "near-classes")
+    prints = scratch.put(fingerprints(docs, id_col, text_col), "prints")
+    own = scratch.put(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("p", F.xxhash64("fingerprint")), "distinct")
 
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        walker = _walker()
-        return pd.Series([whole_likeness(walker, x, y) for x, y in zip(a, b)], dtype=float)
-
-    pairs = near_pairs(fingerprints(docs, id_col, text_col), least - slack).select("doc_id", "rep_id")
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("a"))
-    joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep_id"), F.col("a").alias("b")), "rep_id")
-    return joined.select("doc_id", "rep_id", F.pandas_udf(compare, T.DoubleType())("a", "b").alias("likeness")).filter(F.col("likeness") >= least)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            walker, rows = _walker(), []
+            for p, fingerprint in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(p, to, key) for to, key in band_keys(walker, fingerprint, bands, digits)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()))], names=["p", "level", "key"])
+
+    keys = own.select("p", "fingerprint").mapInArrow(keyed, "p long, level int, key long")
+    keys = scratch.put(keys, "keys")
+    sizes = keys.groupBy("level", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = keys.join(sizes, ["level", "key"]).join(own.select("p", "fingerprint"), "p").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("fingerprint"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    met = met.select("level", "key", "fingerprint", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    tasks = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-own.count() // TASK_PRINTS))
+    met = met.withColumn("task", F.pmod(F.xxhash64("level", "key", "i", "j"), F.lit(tasks)))
+
+    def join(rows: pa.Table) -> pa.Table:
+        walker, a, b = _walker(), [], []
+        rows = rows.sort_by([(c, "ascending") for c in ("level", "key", "i", "j", "part", "fingerprint")])
+        level, key, i, j, part = (rows.column(c).to_numpy() for c in ("level", "key", "i", "j", "part"))
+        new = np.ones(rows.num_rows + 1, bool)
+        new[1:-1] = np.any([x[1:] != x[:-1] for x in (level, key, i, j)], axis=0)
+        at = np.flatnonzero(new)
+        texts = rows.column("fingerprint")
+        for lo, hi in zip(at, at[1:]):
+            own = texts.slice(lo, hi - lo).to_pylist()
+            first = None if i[lo] == j[lo] else int((part[lo:hi] == i[lo]).sum())
+            for x, y in linked(walker, own, int(level[lo]), least, first):
+                a.append(own[x])
+                b.append(own[y])
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    links = met.groupBy("task").applyInArrow(join, "a string, b string")
+    roots = connected_components(scratch.put(links, "links"), scratch).withColumnRenamed("node", "fingerprint")
+    of = own.join(roots, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    named = of.join(of.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("fingerprint", "class_id")
+    return prints.select("doc_id", "fingerprint").join(scratch.put(named, "classes"), "fingerprint").select("doc_id", "fingerprint", "class_id")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -280,20 +307,20 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     Texts are dealt once, by ranges of the order with bounds taken from a bounded
-    sample of ids; the first document of a range also goes to the range before, so
-    each task has all the neighbours it needs and no window spans the table.
+    sample of ids (RANGES ranges at most, which a task sorts and reads in pieces); the first document of a range also goes to the range before, so
+    each task has all the neighbours it needs and no window spans the table.  Ids must be whole numbers.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     # Ascending keys for the descending order: ~id reverses 64-bit numbers; nulls come last.
     own = own.withColumn("last", F.col("doc_id").isNull().cast("int")).withColumn("k", F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")))
     n, total = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long") + 64)).first()
-    ranges = max(1, -(-(total or 0) // bucket_bytes))
+    ranges = min(RANGES, max(1, -(-(total or 0) // bucket_bytes)))
     bounds: list[tuple] = []
     if ranges > 1:
         keys = own.select("last", "k", "h")
-        share = min(1.0, 200.0 * ranges / n)
-        sample = sorted(tuple(r) for r in keys.sample(share, seed=SEED).limit(400 * ranges).collect())
+        each = 200 if ranges <= 512 else 20
+        sample = sorted(tuple(r) for r in keys.sample(min(1.0, each * ranges / n), seed=SEED).limit(2 * each * ranges).collect())
         bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
     def place(last: pd.Series, k: pd.Series, h: pd.Series) -> pd.Series:

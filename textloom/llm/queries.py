@@ -18,6 +18,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal row counts, in a seeded random order."""
     rows = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=8)
     text = F.coalesce("text", F.lit(""))
     return rows.select(
@@ -27,38 +28,52 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token digests of all documents, and of the texts that decoding gives back."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ids=False, digests=True)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, those of over 4,096 tokens marked."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are at least 0.9 alike."""
     return jaccard.similar_components(table(spark, sf_dir, "documents"), width=3, threshold=0.9).drop("h")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of the trusted ones, and whether their language keeps them."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how alike neighbours are."""
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def near_copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-copies among all documents by the fingerprints' bands, each link verified."""
+    return fingerprints.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as media files, read back."""
     read = media.read_media(media.to_media(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
@@ -83,7 +98,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_bpe, op3_mixing, op4_token_counts, op5_ngram_jaccard, op6_licenses, op7_quality, op8_fingerprints, op9_toxicity, op10_media, op11_fill_middle, op12_divergence, op13_simhash)
+    for f in (op1_sharding, op2_bpe, op3_mixing, op4_token_counts, op5_ngram_jaccard, op6_licenses, op7_quality, op8_fingerprints, op9_toxicity, op10_media, op11_fill_middle, op12_divergence, op13_simhash, near_copy_classes)
 }
 
 ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle(), "op11_fill_middle": fill_middle.ORACLE, "op12_divergence": divergence.ORACLE}
