@@ -40,3 +40,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         raise RuntimeError(f"components are not complete after {MOST_ROUNDS} rounds")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return scratch.put(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), f"{name}-roots")
+
+
+def joined_components(roots: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``node, root`` as ``roots`` (of ``connected_components``, written) with further ``edges`` (a, b).
+
+    The edges are followed between components only, so what is found already is not gone through again; where they join none,
+    ``roots`` is returned as it is.
+    """
+    between = edges.select("a", "b")
+    for side in ("a", "b"):
+        between = between.join(roots.select(F.col("node").alias(side), F.col("root").alias("found")), side, "left")
+        between = between.withColumn(side, F.coalesce("found", side)).drop("found")
+    between = scratch.put(between.filter("a <> b").distinct(), f"{name}-between")
+    if between.isEmpty():
+        return roots
+    merged = connected_components(between, scratch, name)
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return scratch.put(moved.unionByName(merged.join(roots, "node", "left_anti").select("node", "root")), f"{name}-joined")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import Scratch, maybe_broadcast, packed_rows, pieces, release_memory, short_batches, text_or_empty, worker_state
-from textloom.llm.components import connected_components
+from textloom.llm.components import connected_components, joined_components
 
 MEMO_WORDS = 1 << 16
 #: Sets whose tiles a task has sent and remembers.
@@ -560,15 +560,15 @@ def _components(docs: DataFrame, width: int, threshold: float, id_col: str, text
     first = scratch.put(verified(best, owners, own, width, threshold, scratch, "best"), "first")
     roots = connected_components(first, scratch, "cc1")
 
-    links, tried, left = first, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tiled
+    tried, left = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tiled
     for k, picks in enumerate((*PICKS, None)):
         rows = scratch.put(open_tiles(left, roots, not k), f"open{k}")
         if rows.isEmpty():
             break
         met = scratch.put(meeting_pairs(rows, signatures, threshold, picks), f"met{k}")
         pairs = scratch.put(met.filter(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
-        links = scratch.put(links.unionByName(verified(pairs, owners, own, width, threshold, scratch, f"pairs{k}")), f"links{k}")
-        roots = connected_components(links, scratch, f"cc{k + 2}")
+        links = scratch.put(verified(pairs, owners, own, width, threshold, scratch, f"pairs{k}"), f"links{k}")
+        roots = joined_components(roots, links, scratch, f"cc{k + 2}")
         tried = tried.unionByName(pairs)
         left = rows.join(met.filter(F.col("a").isNull()).select("tile").distinct(), "tile", "left_semi")
     roots = roots.withColumnRenamed("node", "digest")
