@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import snowball
-from textloom.operators import corpus, learners, relational, runners
+from textloom.operators import corpus, learners, recurrent, relational, runners
 from textloom.operators.sgd import Settings
 from textloom.operators.shared import Tables
 from textloom.plans.catalogue import _turns, query
@@ -139,3 +139,36 @@ def snowball_stems(t):
 @query()
 def learning_losses(t):
     return learners.losses(learners.learn(_sentences(t), QUICK))
+
+
+#: A small encoder; its vocabulary is the most frequent words, all other words are one.
+SMALL = recurrent.Settings(word_dims=16, dims=24, words=400, epochs=3, steps=5, rate=0.02)
+
+
+def _taught(t) -> tuple[DataFrame, recurrent.Model, DataFrame]:
+    sentences = _spoken(t)
+    m, words, _ = recurrent.learn(sentences, SMALL)
+    return sentences, m, words
+
+
+@query()
+def adjacent_encoder(t):
+    """Every turn's vector by an encoder that learned to predict the turns before and after."""
+    return recurrent.encode(*_taught(t))
+
+
+@query()
+def generated_turns(t):
+    """The three likeliest following turns of each turn, by beams over whole words."""
+    sentences, m, words = _taught(t)
+    vectors = recurrent.encode(sentences, m, words, unit=False)
+    return recurrent.generate(vectors, m, words, k=3, longest=12)
+
+
+@query()
+def following_perplexity(t):
+    """How unlikely the decoder finds the turns that do follow."""
+    sentences, m, words = _taught(t)
+    vectors = recurrent.encode(sentences, m, words, unit=False)
+    after = sentences.select((F.col("id") - 1).alias("id"), "tokens").join(sentences.select("id"), "id", "left_semi")
+    return recurrent.perplexity(recurrent.reconstruction(vectors, after, m, words))
