@@ -114,7 +114,7 @@ def test_learning_encoding_generation_and_scores(spark):
     pairs = [("red hot sun", "one two"), ("cold blue sea", "three four"), ("green old tree", "five six"), ("loud grey crow", "seven eight")]
     rows = [(2 * d + k, d, k, side.split()) for d in range(80) for k, side in enumerate(pairs[d % 4])] + [(900, 900, 0, []), (901, 901, 0, None), (902, 902, 0, ["red", None, "never"])]
     sentences = spark.createDataFrame(rows, "id long, doc long, pos int, tokens array<string>")
-    s = rec.Settings(word_dims=16, dims=24, words=100, epochs=15, steps=2, rate=0.05)
+    s = rec.Settings(word_dims=16, dims=24, words=100, epochs=50, steps=1, rate=0.05)
     m, words, losses = rec.learn(sentences, s)
     assert words.count() == len({w for p in pairs for side in p for w in side.split()}) + 1 and losses[-1] < 0.5 * losses[0]
     vectors = rec.encode(sentences, m, words, unit=False).persist()
