@@ -9,7 +9,7 @@ Null tokens count as none, a sentence without words has a zero vector, repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -246,20 +246,20 @@ def _batches(lengths: list[int], cells: int) -> Iterator[list[int]]:
         at = end
 
 
-def summed_gradient(triples: DataFrame, m: Model) -> tuple[Model, float, int]:
-    """The gradient over all rows (``ids, next, last``), the loss, and the number of rows; tasks send pieces of their sums."""
-    sc, size = triples.sparkSession.sparkContext, sum(x.size for x in m.values())
+def summed(rows: DataFrame, m: Model, teach: Callable[[Model, pa.RecordBatch, Model], tuple[float, int]]) -> tuple[Model, float, int]:
+    """The gradient over all rows, the loss and the number taught; ``teach`` adds a batch's gradient and returns its loss and number.
+
+    Tasks send pieces of their sums, which two rounds of shuffles add up.
+    """
+    sc, size = rows.sparkSession.sparkContext, sum(x.size for x in m.values())
     shared = sc.broadcast(m)
-    cells = max(1, CELLS // (m["out"].shape[1] + 8 * m["out"].shape[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, loss, n = shared.value, 0.0, 0
         g = {k: np.zeros_like(x) for k, x in model.items()}
         for batch in batches:
-            ids, after, before = (batch.column(k).to_pylist() for k in range(3))
-            for at in _batches([max(map(len, filter(None, r)), default=0) for r in zip(ids, after, before)], cells):
-                loss += loss_gradient(model, [ids[k] for k in at], {"next": [after[k] for k in at], "last": [before[k] for k in at]}, g)
-            n += len(ids)
+            more, some = teach(model, batch, g)
+            loss, n = loss + more, n + some
         if n:
             flat = np.concatenate([_flat(g).astype(np.float64), [loss, n]])
             cut = [flat[k : k + PIECE] for k in range(0, len(flat), PIECE)]
@@ -276,14 +276,27 @@ def summed_gradient(triples: DataFrame, m: Model) -> tuple[Model, float, int]:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part], pa.list_(pa.float64()))], names=["piece", "g"])
 
     kind = "piece long, g array<double>"
-    sent = triples.select("ids", "next", "last").mapInArrow(run, kind)
-    once = sent.repartition("piece", F.pmod(F.spark_partition_id(), F.lit(32))).mapInArrow(add, kind)
-    rows = once.repartition("piece").mapInArrow(add, kind).collect()  # the model's size
+    once = rows.mapInArrow(run, kind).repartition("piece", F.pmod(F.spark_partition_id(), F.lit(32))).mapInArrow(add, kind)
+    pieces = once.repartition("piece").mapInArrow(add, kind).collect()  # the model's size
     shared.unpersist()
-    flat = np.concatenate([np.array(r["g"]) for r in sorted(rows, key=lambda r: r["piece"])]) if rows else np.zeros(size + 2)
+    flat = np.concatenate([np.array(r["g"]) for r in sorted(pieces, key=lambda r: r["piece"])]) if pieces else np.zeros(size + 2)
     return _shaped(flat[:-2], m), float(flat[-2]), int(flat[-1])
 
 
+def summed_gradient(triples: DataFrame, m: Model) -> tuple[Model, float, int]:
+    """The gradient over all rows (``ids, next, last``), the loss, and the number of rows."""
+    cells = max(1, CELLS // (m["out"].shape[1] + 8 * m["out"].shape[0]))
+
+    def teach(model: Model, batch: pa.RecordBatch, g: Model) -> tuple[float, int]:
+        ids, after, before = (batch.column(k).to_pylist() for k in range(3))
+        loss = 0.0
+        for at in _batches([max(map(len, filter(None, r)), default=0) for r in zip(ids, after, before)], cells):
+            loss += loss_gradient(model, [ids[k] for k in at], {"next": [after[k] for k in at], "last": [before[k] for k in at]}, g)
+        return loss, len(ids)
+
+    return summed(triples.select("ids", "next", "last"), m, teach)
+
+
 def learn(sentences: DataFrame, s: Settings) -> tuple[Model, DataFrame, list[float]]:
     """An encoder whose vectors predict the adjacent sentences (``id, doc, pos, tokens``); its vocabulary, and the mean loss of each step.
 

@@ -1,3 +1,3 @@
 """Queries with their SQL; importing the package registers them all."""
 
-from textloom.plans import catalogue, corpora, learned, measures, readers, spaces, texts  # noqa: F401
+from textloom.plans import catalogue, corpora, learned, measures, modelled, readers, spaces, texts  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import snowball
-from textloom.operators import corpus, learners, recurrent, relational, runners
+from textloom.operators import corpus, language, learners, recurrent, relational, runners
 from textloom.operators.sgd import Settings
 from textloom.operators.shared import Tables
 from textloom.plans.catalogue import _turns, query
@@ -172,3 +172,38 @@ def following_perplexity(t):
     vectors = recurrent.encode(sentences, m, words, unit=False)
     after = sentences.select((F.col("id") - 1).alias("id"), "tokens").join(sentences.select("id"), "id", "left_semi")
     return recurrent.perplexity(recurrent.reconstruction(vectors, after, m, words))
+
+
+#: A small class-factored model of words.
+WORDS = language.Settings(dims=24, words=2_000, classes=40, epochs=3, steps=4, rate=0.02)
+
+
+def _modelled(t) -> tuple[DataFrame, language.Language]:
+    sentences = _spoken(t).select("id", "doc", "tokens")
+    return sentences, language.learn(sentences, WORDS)[0]
+
+
+@query()
+def language_perplexity(t):
+    """Each conversation's perplexity by the recurrent model of all turns, by bigrams of all documents, and by their even mixture."""
+    sentences, model = _modelled(t)
+    docs = t("documents").select(F.col("doc_id").alias("id"), snowball.normalised(F.coalesce("text", F.lit(""))).alias("tokens"))
+    other = language.with_bigrams(sentences, language.bigram_probabilities(sentences, docs, 0.1))
+    words = language.word_probabilities(sentences, model).join(other, ["id", "pos"])
+    return language.score(words.join(sentences.select("id", "doc"), "id"), ["doc"], 0.5)
+
+
+@query()
+def rescored_turns(t):
+    """Each turn as it is and with its words reversed: which the model finds likelier."""
+    sentences, model = _modelled(t)
+    turned = F.explode(F.array(F.struct(F.lit(0).alias("choice"), "tokens"), F.struct(F.lit(1).alias("choice"), F.reverse("tokens").alias("tokens")))).alias("x")
+    choices = sentences.select(F.col("id").alias("item"), turned).select("item", "x.*", F.lit(0.0).alias("other"))
+    return language.rescored(choices, model).filter("place = 1").groupBy("choice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def drawn_turns(t):
+    """For each turn one that the model draws."""
+    sentences, model = _modelled(t)
+    return language.drawn(sentences.select("id"), model, 30).select("id", F.array_join("tokens", " ").alias("words"))
