@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -309,17 +309,42 @@ def learn(sentences: DataFrame, s: Settings) -> tuple[Model, DataFrame, list[flo
     met = rows.join(near["next"], ["doc", "pos"], "left").join(near["last"], ["doc", "pos"], "left").filter("next is not null or last is not null")
     part = F.pmod(F.xxhash64(F.lit(s.seed), "doc", "pos"), F.lit(s.steps))
     teaching = tables.put(met.select(part.alias("part"), "ids", "next", "last"), "teaching")
-    m, losses, step = first_model(s, words.count() + 2), [], 0
+    m = first_model(s, words.count() + 2)
+    return m, words, _taken(m, s, lambda epoch, k: teaching.filter(F.col("part") == k))
+
+
+def _taken(m: Model, s: Settings, part: Callable[[int, int], DataFrame]) -> list[float]:
+    """The steps of learning over each epoch's parts, which move the model; the mean loss of each."""
+    losses, step = [], 0
     moments = tuple({k: np.zeros(x.shape) for k, x in m.items()} for _ in range(2))
-    for _ in range(s.epochs):
+    for epoch in range(s.epochs):
         for k in range(s.steps):
-            g, loss, n = summed_gradient(teaching.filter(F.col("part") == k), m)
+            g, loss, n = summed_gradient(part(epoch, k), m)
             if not n:
                 continue
             step += 1
             adam(m, {key: x / n for key, x in g.items()}, moments, step, s.rate, s.clip)
             losses.append(loss / n)
-    return m, words, losses
+    return losses
+
+
+def learn_denoising(sentences: DataFrame, s: Settings, corrupt: Callable[[Column, Column], Column] | None = None) -> tuple[Model, DataFrame, list[float]]:
+    """An encoder from whose vector of a corrupted sentence (``id, tokens``) the decoder ``next`` finds the sentence itself; as ``learn`` returns it.
+
+    ``corrupt`` is given the words' numbers and a key, as ``tokens.masked`` (with the mask ``UNKNOWN``), ``tokens.swapped`` and ``tokens.removed`` take them;
+    each epoch corrupts anew.  Without it the encoder sees the sentences as they are.  Those longer than ``s.longest`` or without words do not teach.
+    """
+    tables = Tables(sentences.sparkSession, "denoising")
+    words = tables.put(vocabulary(sentences, s.words), "words")
+    rows = numbered_words(sentences.select("id", "tokens"), words).filter(F.size("ids").between(1, s.longest))
+    rows = tables.put(rows.withColumn("part", F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(s.steps))), "ids")
+    m = first_model(s, words.count() + 2)
+
+    def part(epoch: int, k: int) -> DataFrame:
+        seen = corrupt(F.col("ids"), F.concat_ws("-", F.lit(str(s.seed)), F.lit(str(epoch)), F.col("id").cast("string"))) if corrupt else F.col("ids")
+        return rows.filter(F.col("part") == k).select(seen.alias("ids"), F.col("ids").alias("next"), F.lit(None).cast("array<int>").alias("last"))
+
+    return m, words, _taken(m, s, part)
 
 
 def encode(sentences: DataFrame, m: Model, words: DataFrame, names: tuple[str, ...] = ("encoder",), unit: bool = True, end: bool = True) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import snowball
-from textloom.operators import corpus, language, learners, recurrent, relational, runners
+from textloom.functions import text as tx
+from textloom.operators import corpus, language, learners, neural, recurrent, relational, runners, tokens
 from textloom.operators.sgd import Settings
 from textloom.operators.shared import Tables
 from textloom.plans.catalogue import _turns, query
@@ -207,3 +208,35 @@ def drawn_turns(t):
     """For each turn one that the model draws."""
     sentences, model = _modelled(t)
     return language.drawn(sentences.select("id"), model, 30).select("id", F.array_join("tokens", " ").alias("words"))
+
+
+@query()
+def denoising_encoder(t):
+    """Every turn's vector by an encoder that learned to find turns again whose words were masked and swapped."""
+    sentences = _spoken(t)
+
+    def noise(ids, key):
+        return tokens.swapped(tokens.masked(ids, 0.1, key, recurrent.UNKNOWN), 0.1, key)
+
+    m, words, _ = recurrent.learn_denoising(sentences, SMALL, noise)
+    return recurrent.encode(sentences, m, words)
+
+
+@query()
+def convolution_classes(t):
+    """Languages of all documents by filters over words; the documents that do not teach are counted by their own and the found language."""
+    docs = t("documents").select(F.col("doc_id").alias("id"), tx.tokens(F.col("text")).alias("tokens"), F.col("lang").alias("label"))
+    docs = _kept(docs, "docs")
+    s = neural.Settings(word_dims=16, units=24, hidden=24, words=4_000, epochs=4, steps=3, rate=0.02)
+    c, _ = neural.learn(docs.filter("id % 5 > 0"), s)
+    return neural.classify(docs, c).join(docs.filter("id % 5 = 0").select("id", "label"), "id").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def memory_classes(t):
+    """Roles of all turns by long short-term memory, counted by the own and the found role of turns whose conversation does not teach."""
+    turns = _kept(_turns(t).join(t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), F.col("role").alias("label")), ["doc_id", "pos"]), "turns")
+    rows = turns.select((F.col("doc_id") * (1 << 20) + F.col("pos")).alias("id"), "doc_id", "tokens", "label")
+    s = neural.Settings("memory", word_dims=16, units=24, words=2_000, epochs=4, steps=3, rate=0.02)
+    c, _ = neural.learn(rows.filter("doc_id % 5 > 0"), s)
+    return neural.classify(rows, c).join(rows.filter("doc_id % 5 = 0").select("id", "label"), "id").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
