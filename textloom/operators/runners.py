@@ -50,8 +50,7 @@ def document_vectors(docs: DataFrame, s: Settings, least: int = 9) -> DataFrame:
 def averaged_words(sentences: DataFrame, s: Settings) -> DataFrame:
     """The mean of a sentence's word vectors of both kinds, side by side; sentences without words give no row."""
     a, b = (learners.word_vectors(x) for x in _both_kinds(sentences, s))
-    cells = spaces.sentence_vectors(sentences, _side_by_side(a, b, "term"), ["id"])
-    return _with_unit(spaces.gathered(cells, ["id"]))
+    return _with_unit(spaces.word_sums(sentences, _side_by_side(a, b, "term"), ["id"]))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -122,4 +121,4 @@ def adjacent_sums(sentences: DataFrame, s: Settings, itself: bool = False) -> Da
 
 def phrase_sums(sentences: DataFrame, words: DataFrame) -> DataFrame:
     """Sums of given word vectors (``term, v``); unknown words are left out, sentences without a known word have no row."""
-    return _with_unit(spaces.gathered(spaces.sentence_vectors(sentences, words, ["id"], "sum"), ["id"]))
+    return _with_unit(spaces.word_sums(sentences, words, ["id"], "sum"))

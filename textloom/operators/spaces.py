@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,16 +196,66 @@ def _with_looked(met: DataFrame, k: int) -> DataFrame:
     return _merged(met, k, "euclidean").select("query", "id", "score").join(looked, "query")
 
 
-def sentence_vectors(sentences: DataFrame, words: DataFrame, keys: list[str], how: str = "avg") -> DataFrame:
-    """``keys, k, x``: mean (``avg``) or sum of the vectors of a sentence's words, by dimension.
+#: Words of the sentences that meet their vectors in one task.
+BLOCK_WORDS = 200_000
+
+
+def word_sums(sentences: DataFrame, words: DataFrame, keys: list[str], how: str = "avg") -> DataFrame:
+    """``keys, v``: mean (``avg``) or sum of the vectors of a sentence's words.
 
-    ``sentences`` has ``keys, tokens``, ``words`` has ``term, v``.  Repeated words count repeatedly, unknown
-    words are left out, sentences without a known word give no row.  Words are counted per sentence before they meet their vectors.
+    ``sentences`` has ``keys, tokens``, ``words`` has ``term, v``.  Repeated words count repeatedly, unknown words are left out, sentences without
+    a known word give no row.  Sentences are dealt into blocks of some BLOCK_WORDS words; a block gets the vector of each word it names once, so what
+    is shuffled grows with the blocks' different words, not with places times dimensions.
     """
-    counted = sentences.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-    cells = counted.join(words, "term").select(*keys, "n", F.posexplode("v").alias("k", "x"))
-    total = F.sum(F.col("n") * F.col("x"))
-    return cells.groupBy(*keys, "k").agg((total / F.sum("n") if how == "avg" else total).alias("x"))
+    tables = Tables(sentences.sparkSession, "sums")
+    texts = tables.put(sentences.select(*keys, "tokens").filter(F.size("tokens") > 0), "read")
+    blocks = max(1, -(-(texts.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0) // BLOCK_WORDS))
+    texts = texts.withColumn("block_", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    given = words.filter(F.col("v").isNotNull()).select("term", F.col("v").cast("array<double>").alias("v"))
+    needs = texts.select("block_", F.explode("tokens").alias("term")).distinct().join(given, "term").select(F.col("block_").alias("of_"), "term", "v")
+
+    def run(own: pa.Table, needs: pa.Table) -> pa.Table:
+        names = pc.unique(needs.column("term").combine_chunks())
+        number = pc.index_in(needs.column("term").combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+        lists = needs.column("v").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        width = int(sizes.max(initial=0))
+        # A word may have several vectors, and vectors several lengths: each dimension has its own number of terms.
+        matrix, terms = np.zeros((len(names), width)), np.zeros((len(names), width))
+        row, place = np.repeat(number, sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        np.add.at(matrix, (row, place), lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False))
+        np.add.at(terms, (row, place), 1.0)
+        tokens = own.column("tokens").combine_chunks()
+        code = np.stack([own.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in keys], axis=1)
+        _, first, owner = np.unique(code, axis=0, return_index=True, return_inverse=True)  # rows with equal keys are one sentence
+        owner = owner.ravel()[pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)]
+        found = pc.index_in(pc.list_flatten(tokens), value_set=names)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        owner, word = owner[known], found.fill_null(-1).to_numpy(zero_copy_only=False)[known]
+        order = np.argsort(owner, kind="stable")
+        owner, word = owner[order], word[order]
+        at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        sums, have = [], []
+        for k in range(0, len(at), 1_024):  # so many sentences at once
+            ends = np.append(at, len(owner))[k : k + 1_025]
+            part = word[ends[0] : ends[-1]]
+            sums.append(np.add.reduceat(matrix[part], ends[:-1] - ends[0], axis=0))
+            have.append(np.add.reduceat(terms[part], ends[:-1] - ends[0], axis=0))
+        sums, have = (np.concatenate([np.zeros((0, width)), *x]) for x in (sums, have))
+        given, length = have > 0, (have > 0).sum(axis=1)
+        values = (sums / np.where(given, have, 1.0) if how == "avg" else sums)[given]
+        some = length > 0
+        rows = own.take(pa.array(first[owner[at]][some])).select(keys)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[some])), pa.int32()), pa.array(values))
+        return rows.append_column("v", lists)
+
+    kind = ", ".join(f"`{c}` {sentences.schema[c].dataType.simpleString()}" for c in keys)
+    return texts.groupBy("block_").cogroup(needs.groupBy("of_")).applyInArrow(run, f"{kind}, v array<double>")
+
+
+def sentence_vectors(sentences: DataFrame, words: DataFrame, keys: list[str], how: str = "avg") -> DataFrame:
+    """``keys, k, x``: the sums or means of ``word_sums`` by dimension."""
+    return word_sums(sentences, words, keys, how).select(*keys, F.posexplode("v").alias("k", "x"))
 
 
 def gathered(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,7 +67,8 @@ def sentence_sum_vectors(t):
 d as (select a.doc_id, a.pos, sum(a.x * b.x) as d from m a join m b on a.doc_id = b.doc_id and b.pos = a.pos + 1 and a.k = b.k group by all)
 select d.doc_id, d.pos, round(d / (a.n * b.n), 6) + 0 as s from d join n a on a.doc_id = d.doc_id and a.pos = d.pos join n b on b.doc_id = d.doc_id and b.pos = d.pos + 1""")
 def sentence_similarity(t):
-    own = spaces.gathered(spaces.sentence_vectors(_turns(t), _word_vectors(t), ["doc_id", "pos"]), ["doc_id", "pos"])
+    turns = _turns(t)
+    own = Tables(turns.sparkSession, "similarity").put(spaces.word_sums(turns, _word_vectors(t), ["doc_id", "pos"]), "own")
     following = own.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("v").alias("w"))
     a, b = vec.normalised(F.col("v"), 0.0), vec.normalised(F.col("w"), 0.0)
     return own.join(following, ["doc_id", "pos"]).select("doc_id", "pos", F.round(vec.dot(a, b), 6).alias("s"))
