@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.relational import running_total
+from textloom.operators.shared import Tables
 
 
 def sentence_table(docs: DataFrame) -> DataFrame:
@@ -29,20 +31,77 @@ def inverse_frequency(tf: DataFrame, sents: DataFrame) -> DataFrame:
     return tf.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("k")).join(total, "doc_id").select("doc_id", "term", F.log(F.col("total") / (F.col("k") + 1)).alias("idf"))
 
 
+#: Words of documents whose sentences are compared in one task, and numbers of a matrix in it.
+BLOCK_WORDS = 200_000
+MATRIX = 1 << 22
+
+
+def _close(row: np.ndarray, term: np.ndarray, w: np.ndarray, norm: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """(a, b, weight) of a document's sentences from its cells (sentence, term, weight, sorted by sentence), a piece of the sentences and of the terms at a time."""
+    n, found = len(norm), [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+    terms = int(term.max(initial=-1)) + 1
+    rows, wide = max(1, MATRIX // n), max(16, MATRIX // n)
+    order = np.argsort(term, kind="stable")
+    row, term, w = row[order], term[order], w[order]
+    for lo in range(0, n, rows):
+        score, shared = np.zeros((min(rows, n - lo), n)), None if threshold >= 0 else np.zeros((min(rows, n - lo), n))
+        for c in range(0, terms, wide):
+            part = slice(*np.searchsorted(term, (c, c + wide)))
+            matrix = np.zeros((n, min(wide, terms - c)))
+            matrix[row[part], term[part] - c] = w[part]
+            score += matrix[lo : lo + rows] @ matrix.T
+            if shared is not None:
+                matrix[row[part], term[part] - c] = 1.0
+                shared += matrix[lo : lo + rows] @ matrix.T
+        good = (norm[lo : lo + rows, None] > 0) & (norm[None] > 0)
+        score = np.where(good, score, 0.0) / np.where(good, norm[lo : lo + rows, None] * norm[None], 1.0)
+        good &= np.round(score, 9) > threshold
+        x, y = np.nonzero(good if shared is None else good & (shared > 0))
+        found.append([x + lo, y, score[x, y]])
+    return [np.concatenate(x) for x in zip(*found)]
+
+
 def similarity_edges(sents: DataFrame, threshold: float) -> DataFrame:
     """``doc_id, a, b, weight`` above the threshold, both directions and self loops included.
 
-    The norm sums over token occurrences, so repeated words weigh repeatedly.
+    The norm sums over token occurrences, so repeated words weigh repeatedly.  Documents are dealt into blocks of some BLOCK_WORDS words, whose
+    sentences' words are sent once; pairs of sentences stay in their task, only edges leave it.
     """
-    tf = term_frequency(sents)
-    w = tf.join(inverse_frequency(tf, sents), ["doc_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("n") * F.col("w") * F.col("w"))).alias("norm"))
-    left = w.select("doc_id", "term", F.col("pos").alias("a"), F.col("w").alias("wa"))
-    right = w.select("doc_id", "term", F.col("pos").alias("b"), F.col("w").alias("wb"))
-    raw = left.join(right, ["doc_id", "term"]).groupBy("doc_id", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    na, nb = norms.select("doc_id", F.col("pos").alias("a"), F.col("norm").alias("na")), norms.select("doc_id", F.col("pos").alias("b"), F.col("norm").alias("nb"))
-    both = raw.join(na, ["doc_id", "a"]).join(nb, ["doc_id", "b"]).filter("na > 0 and nb > 0")
-    return both.select("doc_id", "a", "b", (F.col("s") / (F.col("na") * F.col("nb"))).alias("weight")).filter(F.round("weight", 9) > threshold)
+    texts = Tables(sents.sparkSession, "similar").put(sents.select("doc_id", "pos", "tokens").filter(F.col("doc_id").isNotNull()), "texts")
+    blocks = max(1, -(-(texts.agg(F.sum(F.greatest(F.size("tokens"), F.lit(0)).cast("long"))).first()[0] or 0) // BLOCK_WORDS))
+    kinds = {c: texts.schema[c].dataType.simpleString() for c in ("doc_id", "pos")}
+
+    def run(own: pa.Table) -> pa.Table:
+        doc, pos, lists = (own.column(c).combine_chunks() for c in ("doc_id", "pos", "tokens"))
+        doc_code, pos_code = (x.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (doc, pos))
+        total = np.bincount(doc_code)
+        _, first, sentence = np.unique(np.stack([doc_code, pos_code], axis=1), axis=0, return_index=True, return_inverse=True)
+        of = doc_code[first]  # a sentence's document; sentences are in the order of their documents
+        terms = pc.list_flatten(lists).dictionary_encode()
+        code = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = sentence.ravel()[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)]
+        size = len(terms.dictionary) + 1
+        cell, n = np.unique(owner[code >= 0] * size + code[code >= 0], return_counts=True)
+        row, term = cell // size, cell % size
+        most = np.zeros(len(first))
+        np.maximum.at(most, row, n)
+        in_doc, place, k = np.unique(of[row] * size + term, return_inverse=True, return_counts=True)
+        w = n / most[row] * np.log(total[of[row]] / (k[place.ravel()] + 1))
+        norm = np.sqrt(np.bincount(row, n * w * w, minlength=len(first)))
+        begins = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        found = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+        for lo, hi in zip(begins, np.append(begins[1:], len(of))):
+            part = slice(*np.searchsorted(row, (lo, hi)))
+            local = place.ravel()[part] - np.searchsorted(in_doc, of[lo] * size)
+            a, b, weight = _close(row[part] - lo, local, w[part], norm[lo:hi], threshold)
+            found.append([first[a + lo], first[b + lo], weight])
+        a, b, weight = (np.concatenate(x) for x in zip(*found))
+        return pa.table([doc.take(pa.array(a)), pos.take(pa.array(a)), pos.take(pa.array(b)), pa.array(weight)], names=["doc_id", "a", "b", "weight"])
+
+    # By number: the comparisons cost more time than the blocks' bytes tell.
+    dealt = texts.withColumn("block_", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block_")
+    edges = dealt.groupBy("block_").applyInArrow(run, f"doc_id {kinds['doc_id']}, a {kinds['pos']}, b {kinds['pos']}, weight double")
+    return edges.filter("a is not null and b is not null")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
