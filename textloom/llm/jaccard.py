@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ SKETCH = 1 << 21
 BLOCK = 512
 #: Partners a set picks in the rounds before the last, which takes all pairs left.
 PICKS = (1, 4)
+#: Tiles before a set's own that its row names, so that pairs that have met there come once.
+BEFORE = 4
 #: Bitmap words compared at once.
 COMPARE = 1 << 21
 #: Shingles gathered before they are added to the sketch.
@@ -447,6 +449,16 @@ def allowed(n: np.ndarray, root: np.ndarray, own: np.ndarray | None, bits: list[
     return i[ok], j[ok], differ[ok]
 
 
+def first_met(i: np.ndarray, j: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) share none of the tiles in ``before``, a row of numbers for each set and -1 for none."""
+    new = np.ones(len(i), bool)
+    for x in range(before.shape[1]):
+        mine = before[i, x]
+        for y in range(before.shape[1]):
+            new &= (mine != before[j, y]) | (mine < 0)
+    return new
+
+
 def picked(i: np.ndarray, j: np.ndarray, differ: np.ndarray, picks: int) -> np.ndarray:
     """Positions of the pairs that are among the ``picks`` most alike of one of their sets."""
     who, what, cost = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(differ, 2)
@@ -461,13 +473,18 @@ def meeting_pairs(rows: DataFrame, signatures: DataFrame, t: float, picks: int |
 
     ``rows``: tile, m (its rows), n, digest, root; ``signatures``: digest, bits.  A
     tile's members are dealt to blocks of bounded size by hash, and each task
-    compares two blocks.  With ``picks`` only so many partners of each set come,
-    those most like it; then a row with null a and b names a tile with pairs left.
+    compares two blocks.  Near-copies share many tiles: each row names the BEFORE tiles
+    of its set that come before in the order of tiles, and a pair that shares one of those is left
+    to it, where it meets as well; a few still come more than once.  With ``picks`` only so many
+    partners of each set come, those most like it; then a row with null a and b names a tile with pairs left.
     """
-    blocked = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    order = Window.partitionBy("digest").orderBy("tile")
+    names = [f"before{k}" for k in range(BEFORE)]
+    placed = rows.select("*", *[F.lag("tile", k + 1).over(order).alias(name) for k, name in enumerate(names)])
+    blocked = placed.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "digest", "root")
-    dealt = dealt.join(signatures.select("digest", "bits"), "digest").select("tile", "x", "y", "own", "n", "digest", "root", "bits")
+    dealt = dealt.select("tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "digest", "root", *names)
+    dealt = dealt.join(signatures.select("digest", "bits"), "digest").select("tile", "x", "y", "own", "n", "digest", "root", "bits", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups arrive one after the other; each is bounded."""
@@ -476,6 +493,9 @@ def meeting_pairs(rows: DataFrame, signatures: DataFrame, t: float, picks: int |
         def results(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
             x, y, own, n, name, root = (rows.column(k).to_numpy() for k in range(1, 7))
             tile, bits = rows.column(0).to_numpy(), rows.column(7)
+            _, before = np.unique(np.stack([rows.column(8 + k).fill_null(0).to_numpy() for k in range(BEFORE)]), return_inverse=True)
+            none = np.stack([rows.column(8 + k).is_null().to_numpy() for k in range(BEFORE)])
+            before = np.where(none, -1, before.reshape(none.shape)).T
             found, left = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
@@ -487,12 +507,14 @@ def meeting_pairs(rows: DataFrame, signatures: DataFrame, t: float, picks: int |
                     if len(keep) < len(i):
                         left.append(tile[lo])
                     i, j = i[keep], j[keep]
+                new = first_met(i, j, before[lo:hi])
+                i, j = i[new], j[new]
                 if len(i):
                     found.append((np.minimum(names[i], names[j]), np.maximum(names[i], names[j])))
             if found or left:
                 a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
-                none = pa.nulls(len(left), pa.int64())
-                columns = [(pa.array(a), none), (pa.array(b), none), (pa.nulls(len(a), pa.int64()), pa.array(left, pa.int64()))]
+                blank = pa.nulls(len(left), pa.int64())
+                columns = [(pa.array(a), blank), (pa.array(b), blank), (pa.nulls(len(a), pa.int64()), pa.array(left, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "tile"])
 
         for batch in batches:
@@ -508,7 +530,7 @@ def meeting_pairs(rows: DataFrame, signatures: DataFrame, t: float, picks: int |
             yield from results(rest, np.array([0, rest.num_rows]))
 
     ordered = dealt.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-    return ordered.mapInArrow(run, "a long, b long, tile long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, tile long")
 
 
 def open_tiles(tiled: DataFrame, roots: DataFrame, distinct_members: bool) -> DataFrame:
@@ -565,7 +587,7 @@ def _components(docs: DataFrame, width: int, threshold: float, id_col: str, text
         rows = scratch.put(open_tiles(left, roots, not k), f"open{k}")
         if rows.isEmpty():
             break
-        met = scratch.put(meeting_pairs(rows, signatures, threshold, picks), f"met{k}")
+        met = scratch.put(meeting_pairs(rows, signatures, threshold, picks).distinct(), f"met{k}")
         pairs = scratch.put(met.filter(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
         links = scratch.put(verified(pairs, owners, own, width, threshold, scratch, f"pairs{k}"), f"links{k}")
         roots = joined_components(roots, links, scratch, f"cc{k + 2}")
