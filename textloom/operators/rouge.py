@@ -21,6 +21,15 @@ def hits(peers: DataFrame, models: DataFrame, key: str) -> DataFrame:
     return sizes.join(both, key, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 
+def common_units(peers: DataFrame, models: DataFrame, key: str, units: Column) -> DataFrame:
+    """As ``hits``, of the ``units`` of each row's ``tokens``: the tokens of both sides are shuffled by ``key``, their many units are not."""
+    p, m = (side.select(key, "tokens", F.lit(k).alias("side")) for k, side in enumerate((peers, models)))
+    each = p.unionByName(m).filter(F.col(key).isNotNull()).repartition(key).select(key, "side", F.explode(units).alias("gram"))
+    counts = each.groupBy(key, "gram").agg(*[F.sum(F.when(F.col("side") == k, 1).otherwise(0)).alias(c) for k, c in enumerate("pm")])
+    sums = counts.groupBy(key).agg(F.sum(F.least("p", "m")).alias("hit"), F.sum("p").alias("peer"), F.sum("m").alias("model"))
+    return sums.filter("peer > 0 and model > 0").select(key, "peer", "model", "hit")
+
+
 def best_model(scored: DataFrame, key: str, model: str) -> DataFrame:
     """Of several models of a peer the one with the best recall (ties: the smallest name); the other mode sums hits and sizes over models."""
     order = F.struct(F.col("hit") / F.col("model"), F.col(model))

@@ -38,7 +38,7 @@ def _scored(hits: DataFrame) -> DataFrame:
 
 
 def _n(t, n: int) -> DataFrame:
-    return rouge.hits(*[corpus.gram_counts(side, "pair", n) for side in _turn_pairs(t)], "pair")
+    return rouge.common_units(*_turn_pairs(t), "pair", corpus.grams(n))
 
 
 @query("with " + C + _gram_sql(1) + HITS + ROWS)
@@ -63,24 +63,20 @@ def rouge_4(t):
 
 @query("with " + C + SKIP + "g as (select conv_id, turn, gram, count(*) as n from b group by all)," + HITS + ROWS)
 def rouge_s(t):
-    return _scored(rouge.hits(*[corpus.skip_bigram_counts(side, "pair", 4) for side in _turn_pairs(t)], "pair"))
+    return _scored(rouge.common_units(*_turn_pairs(t), "pair", corpus.skip_bigrams(4)))
 
 
 @query("with " + C + SKIP + "g as (select conv_id, turn, gram, count(*) as n from (select * from b union all select conv_id, turn, unnest(tokens) from c) group by all)," + HITS + ROWS)
 def rouge_su(t):
-    sides = [corpus.skip_bigram_counts(side, "pair", 4).unionByName(corpus.gram_counts(side, "pair", 1)) for side in _turn_pairs(t)]
-    return _scored(rouge.hits(*sides, "pair"))
+    return _scored(rouge.common_units(*_turn_pairs(t), "pair", F.concat(corpus.skip_bigrams(4), corpus.grams(1))))
 
 
 @query("with " + C + "g as (select conv_id, turn, gram, count(*) as n from (select conv_id, turn, unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || '|' || tokens[i + 1])) as gram from c) group by all)," + HITS + ROWS)
 def rouge_be(t):
     """Basic elements put together from neighbouring words; heads and modifiers count."""
-    sides = []
-    for side in _turn_pairs(t):
-        last = F.size("tokens") - 1
-        lines = F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws("|", F.get("tokens", i), F.get("tokens", i + 1), F.lit("next")))).otherwise(F.array().cast("array<string>"))
-        sides.append(side.select("pair", F.explode(rouge.be_units(lines)).alias("gram")).groupBy("pair", "gram").agg(F.count(F.lit(1)).alias("n")))
-    return _scored(rouge.hits(*sides, "pair"))
+    last = F.size("tokens") - 1
+    lines = F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws("|", F.get("tokens", i), F.get("tokens", i + 1), F.lit("next")))).otherwise(F.array().cast("array<string>"))
+    return _scored(rouge.common_units(*_turn_pairs(t), "pair", rouge.be_units(lines)))
 
 
 @query("with " + C + _gram_sql(1) + HITS + """select round(avg(recall), 5) as mean_recall, round(avg(precision), 5) as mean_precision, round(avg(f1), 5) as mean_f1, round(sum(hit) / sum(model), 5) as recall, round(sum(hit) / sum(peer), 5) as precision,
