@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from textloom.operators.shared import Tables
 LINE_WORDS, RUNNING_WORDS = 10_000, 1_000
 #: White space, and runs of word characters or of other signs.
 SPACE, WORD_PUNCT = r"[\x09-\x0D\x20]+", r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0D\x20]+)"
+#: Words that every task may have at hand.
+NEAR_WORDS = 100_000
 #: Rows of a file of vectors that leave a task at once.
 ROWS = 1_024
 
@@ -83,9 +86,28 @@ def numbered_lines(lines: DataFrame, ids: DataFrame, most: int = 0, longest: int
     split = lines.select("line", word_punct(F.col("value")).alias("tokens"))
     if longest:
         split = split.filter(F.size("tokens") <= longest)
+    if 0 < most <= NEAR_WORDS:
+        return _looked_up(split, ids.filter((F.col("id") < most) & F.col("term").isNotNull())).select("line", F.floor(F.col("line") / batch).alias("batch"), "ids")
     return tokens.encoded(split, known, ["line"]).select("line", F.floor(F.col("line") / batch).alias("batch"), "ids")
 
 
+def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``line, ids`` of ``line, tokens``: each task has the few known words (``term, id``), so that lines stay where they are."""
+    found = known.select("term", F.col("id").cast("long").alias("id")).collect()  # no more than NEAR_WORDS
+    shared = rows.sparkSession.sparkContext.broadcast(([r["term"] for r in found], [r["id"] for r in found]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, numbers = shared.value
+        terms, numbers = pa.array(terms, pa.string()), pa.array(numbers, pa.int64())
+        for batch in batches:
+            tokens = batch.column(1)
+            ids = pc.fill_null(numbers.take(pc.index_in(tokens.flatten().cast(pa.string()), terms)), 1)
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(tokens), 0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=["line", "ids"])
+
+    return rows.select("line", "tokens").mapInArrow(run, f"line {rows.schema['line'].dataType.simpleString()}, ids array<long>")
+
+
 def paraphrases(lines: DataFrame, longest: int = 0) -> DataFrame:
     """``line, a, b``: the words of the fourth and fifth field of tab-separated lines, in lower case.
 
