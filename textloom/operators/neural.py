@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import models, optimisers, recurrent
+from textloom.operators import models, optimisers, recurrent, sgd
 from textloom.operators.recurrent import CELLS, Model, log_softmax, orthogonal, sigmoid, weights
 from textloom.operators.shared import Tables
 from textloom.operators.tuning import Search
@@ -66,7 +66,9 @@ def first_model(s: Settings, words: int, labels: int) -> Model:
 
 
 def _vectors(m: Model, ids: np.ndarray, on: np.ndarray) -> np.ndarray:
-    return m["words"][ids] * on[..., None]
+    x = m["words"].take(ids, axis=0)
+    x *= on[..., None]
+    return x
 
 
 def _padded(rows: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,16 +85,19 @@ def convolved(m: Model, rows: list[list[int]], keep: list[np.ndarray] | None, hi
     ``keep`` weighs the words of each row (0: left out), ``hidden_keep`` the hidden layer.
     A filter stands at every place where it covers words only; over a text shorter than it, at the first.
     """
-    width, dtype = len(m["filters"]), m["words"].dtype
+    width, dims, units = m["filters"].shape
+    dtype = m["words"].dtype
     ids, lengths = _padded(rows, width)
     on = (np.arange(ids.shape[1]) < lengths[:, None]).astype(dtype)
     for k, w in enumerate(keep or []):
         on[k, : len(w)] *= w.astype(dtype)
     x, places = _vectors(m, ids, on), ids.shape[1] - width + 1
-    z = sum(x[:, w : w + places] @ m["filters"][w] for w in range(width)) + m["filters_b"]
-    z[np.arange(places)[None, :] >= np.maximum(lengths - width + 1, 1)[:, None]] = -np.inf
-    at = z.argmax(axis=1)
-    top = np.take_along_axis(z, at[:, None, :], axis=1)[:, 0]
+    y = m["filters"].transpose(0, 2, 1).reshape(width * units, dims) @ x.transpose(0, 2, 1)  # places lie side by side, for the search along them
+    z = sum(y[:, w * units : (w + 1) * units, w : w + places] for w in range(width)) + m["filters_b"][:, None]
+    for k, n in enumerate(np.maximum(lengths - width + 1, 1)):
+        z[k, :, n:] = -np.inf
+    at = z.argmax(axis=2)
+    top = np.take_along_axis(z, at[:, :, None], axis=2)[:, :, 0]
     best = np.where(lengths[:, None] > 0, np.maximum(top, 0), 0).astype(dtype)
     a = best @ m["hidden"] + m["hidden_b"]
     b = a if hidden_keep is None else a * hidden_keep
@@ -113,7 +118,7 @@ def convolved(m: Model, rows: list[list[int]], keep: list[np.ndarray] | None, hi
     who = np.arange(len(rows))[:, None]
     for w in range(width):
         g["filters"][w] += np.einsum("bud,bu->du", x[who, at + w], d)
-        np.add.at(g["words"], ids[who, at + w], (d * on[who, at + w])[..., None] * m["filters"][w].T)
+        sgd.add_rows(g["words"], ids[who, at + w].reshape(-1), (d * on[who, at + w])[..., None] * m["filters"][w].T)
     return logs
 
 
@@ -163,7 +168,7 @@ LAYERS = {"convolution": convolved, "memory": remembered}
 
 
 def _batches(rows: list[list[int]], m: Model, s: Settings, backward: bool) -> Iterator[list[int]]:
-    a_word = s.word_dims + s.units * (10 if backward and s.kind == "memory" else 3)
+    a_word = s.word_dims + s.units * ((10 if backward else 3) if s.kind == "memory" else s.width + 2)
     return recurrent._batches([len(r) for r in rows], max(1, CELLS // a_word))
 
 
@@ -187,12 +192,12 @@ def learn(texts: DataFrame, s: Settings) -> tuple[Classifier, list[float]]:
     words = tables.put(recurrent.vocabulary(taught, s.words), "words")
     rows = recurrent.numbered_words(taught.withColumn("part", F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(s.steps))), words)
     known = texts.sparkSession.createDataFrame(list(enumerate(names)), "y int, label string")
-    rows = tables.put(rows.join(F.broadcast(known), "label").select("part", "id", "ids", "y"), "ids")
+    rows = tables.put(rows.join(F.broadcast(known), "label").select("part", "id", "ids", "y"), "ids", "part")
     m, state, losses = first_model(s, words.count() + 2, len(names)), {}, []
     layers, size = LAYERS[s.kind], s.hidden if s.kind == "convolution" else s.units
 
     def teach(model: Model, batch: pa.RecordBatch, g: Model) -> tuple[float, int]:
-        ids, y, seeds, loss = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), 0.0
+        ids, y, seeds, loss = recurrent.lists(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_pylist(), 0.0
         for at in _batches(ids, model, s, True):
             some = [ids[k] for k in at]
             keep, layer = _kept([seeds[k] for k in at], some, s, size) if s.dropout else (None, None)
@@ -216,7 +221,7 @@ def classify(texts: DataFrame, c: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [r or [] for r in batch.column(1).to_pylist()]
+            ids = recurrent.lists(batch.column(1))
             best, p = np.zeros(len(ids), np.int64), np.zeros(len(ids))
             for at in _batches(ids, shared.value, s, False):
                 logs = layers(shared.value, [ids[k] for k in at], None, None)
